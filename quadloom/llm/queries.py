@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import fm_quality, langid, lsm_dedup, mixing, nnpu_toxicity, token_counts, warc
+from quadloom.llm import bayes_join, fm_quality, langid, lsm_dedup, mixing, nnpu_toxicity, sp_wfst, token_counts, warc
 from quadloom.llm.common import held_out, read
 
 
@@ -28,6 +28,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     n = token_counts.token_count(spark, F.col("text"), tokenizer_path())
@@ -52,6 +56,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "l.lang_pred", "l.score")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_wfst.encode_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -65,6 +73,20 @@ SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN f ON p.d = f.d
 """
 
+OP3_SQL = r"""
+WITH RECURSIVE
+     w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), x -> x <> '') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                  ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g FROM w WHERE len(w) > 0),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+     e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE both_have >= CAST(0.8 AS DOUBLE) * (x.n + y.n - both_have) - CAST(1e-9 AS DOUBLE)),
+     r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+     c AS (SELECT node, min(seen) AS class_id FROM r GROUP BY node)
+SELECT d.doc_id, c.class_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links, d.doc_id = c.class_id AS kept
+FROM documents d JOIN c ON c.node = d.doc_id
+"""
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                   (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u,
@@ -95,8 +117,8 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_warc, op4_token_counts, op5_toxicity, op6_mixing, op7_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_jaccard_join, op4_token_counts, op5_toxicity, op6_mixing, op7_language_id, op9_sentencepiece, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op6_mixing": OP6_SQL, "op10_exact_dedup": OP10_SQL}
