@@ -31,7 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="quadloom-")
         spark.sparkContext.setCheckpointDir(found)
         _forget_at_exit(spark, found)
-    return found.rstrip("/")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(where).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

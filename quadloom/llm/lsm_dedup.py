@@ -56,7 +56,7 @@ class DigestIndex:
 
     def _write(self, run: DataFrame, name: str, *by: str) -> str:
         path = new_folder(self.spark, name)
-        writer = run.sortWithinPartitions(*by, "digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", str(1 << 20))
+        writer = run.sortWithinPartitions(*by, "digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", str(1 << 20))
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return path
 
