@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import bayes_join, fm_quality, langid, lsm_dedup, mixing, nnpu_toxicity, sp_wfst, token_counts, warc
+from quadloom.llm import bayes_join, fm_quality, langid, lsm_dedup, mixing, nnpu_toxicity, pq_dedup, sp_wfst, token_counts, warc
 from quadloom.llm.common import held_out, read
 
 
@@ -56,6 +56,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "l.lang_pred", "l.score")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_wfst.encode_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -108,6 +112,17 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM o
 """
 
+OP8_SQL = """
+WITH RECURSIVE
+     v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+     u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+     l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= CAST(0.95 AS DOUBLE)),
+     r AS (SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen),
+     c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id
+"""
+
 OP10_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
      g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY t)
@@ -117,8 +132,8 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_jaccard_join, op4_token_counts, op5_toxicity, op6_mixing, op7_language_id, op9_sentencepiece, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_jaccard_join, op4_token_counts, op5_toxicity, op6_mixing, op7_language_id, op8_embedding_dedup, op9_sentencepiece, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op6_mixing": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op6_mixing": OP6_SQL, "op8_embedding_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
