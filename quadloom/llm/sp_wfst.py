@@ -20,7 +20,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +34,29 @@ from quadloom.llm.sp_model import BYTE, NORMAL, SPACE, UNKNOWN, UNUSED, USER_DEF
 INF = float("inf")
 
 
+class _Paths(dict):
+    """word -> ids of the segment that is a mark and the word; filled on demand, emptied when it holds `most` of them.
+
+    Each path is decoded when it is made. Decoding a text is decoding its segments one after another, so a text comes back
+    whole exactly if all its segments do; `lossy` holds those that don't.
+    """
+
+    def __init__(self, machine: PieceTransducer, most: int):
+        super().__init__()
+        self.machine, self.most, self.lossy = machine, most, set()
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        machine, segment = self.machine, SPACE + word
+        ids = tuple(machine._merged_path(segment) if machine.spec.is_bpe else machine.path(segment))
+        if "".join(map(machine.spec.pieces.__getitem__, ids)) != segment and machine.decode(ids) != word:
+            self.lossy.add(word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
 class PieceTransducer:
     def __init__(self, model: bytes | ModelSpec, most_segments: int = 500_000):
         spec = self.spec = model if isinstance(model, ModelSpec) else parse_model(model)
@@ -43,11 +68,21 @@ class PieceTransducer:
         self.longest = max(map(len, self.ids), default=1)
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.plain_runs = self.cuts and not any(p.startswith(SPACE * 2) and p.strip(SPACE) for p in self.ids)
-        self.table: dict[str, tuple[int, ...]] = {}
+        self.table = _Paths(self, most_segments)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.most_segments = most_segments
         scores = [spec.scores[i] for i in self.ids.values()]
         self.unknown_cost = 10.0 - min(scores, default=0.0)
+        # Order of merging: single characters before all merges, merges by falling score.
+        merged = sorted((k for p, k in self.ids.items() if len(p) > 1), key=lambda k: (-spec.scores[k], k))
+        self.order = {k: i - len(self.ids) for i, (p, k) in enumerate((p, k) for p, k in self.ids.items() if len(p) == 1)}
+        self.order |= {k: i for i, k in enumerate(merged)}
+        self.parts: dict[int, tuple[int, int] | None] = {}
+        # The piece machine: an Aho-Corasick automaton over the pieces that merging can make.
+        self.machine = ahocorasick.Automaton()
+        for p, k in self.ids.items():
+            if len(p) == 1 or spec.is_bpe and self._parts(k) is not None:
+                self.machine.add_word(p, (k, len(p)))
+        self.machine.make_automaton()
         self.text_of = [self._decoded(i) for i in range(len(spec.pieces))]
 
     # --- normaliser ---------------------------------------------------------------------------------------------
@@ -81,26 +116,15 @@ class PieceTransducer:
 
     # --- encoding -----------------------------------------------------------------------------------------------
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        table, extend = self.table, out.extend
-        body = self.normalise(text)
-        if self.cuts and SPACE * 2 not in body:
-            # One mark before each word: the usual case, without the general cutting.
-            head, *words = body.split(SPACE)
-            parts = ([head] if head else []) + [SPACE + w for w in words]
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of the whole text."""
+        spec = self.spec
+        words = text.split(" ") if text else []
+        if self.cuts and spec.add_dummy_prefix and spec.escape_whitespaces and "" not in words and SPACE not in text:
+            paths = map(self.table.__getitem__, words)  # one mark before each word: the usual case
         else:
-            parts = self.segments(body)
-        for s in parts:
-            ids = table.get(s)
-            if ids is None:
-                ids = tuple(self.path(s))
-                if len(s) <= 64:
-                    if len(table) >= self.most_segments:
-                        table.clear()
-                    table[s] = ids
-            extend(ids)
-        return out
+            paths = map(self.path, self.segments(self.normalise(text)))
+        return np.fromiter(chain.from_iterable(paths), np.int32)
 
     def path(self, segment: str) -> list[int]:
         """Ids along the shortest path of one segment."""
@@ -151,60 +175,71 @@ class PieceTransducer:
         return out
 
     def _merged_path(self, s: str) -> list[int]:
-        """Merge weights: the last piece of every prefix is that one which may follow the last piece before it."""
-        n, ids, pairs = len(s), self.ids, self.pairs
-        whole = ids.get(s)
-        if whole is not None and self._stays(s):
-            return [whole]
-        last: list[tuple[int, int]] = [(-1, 0)] * (n + 1)  # (piece, where it begins); -2: a character without piece
-        for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                k = ids.get(s[i:j])
-                if k is None:
-                    if j - i > 1:
-                        continue
-                    last[j] = (-2, i)
-                    break
-                before = last[i][0]
-                if i:
-                    if before == -1:
-                        continue
-                    if before >= 0:
-                        ok = pairs.get((before, k))
-                        if ok is None:
-                            ok = pairs[before, k] = self._may_follow(before, k)
-                        if not ok:
-                            continue
-                if j - i > 1 and not self._alone(k):
+        """Merge weights: the last piece of every prefix is that one which may follow the last piece before it.
+
+        The piece machine gives the arcs into each state, the longest first; the first of finite weight is the only one.
+        """
+        n, pairs = len(s), self.pairs
+        last: list[tuple[int, int] | None] = [None] * (n + 1)  # (piece, length); None: a character without piece
+        for end, arc in self.machine.iter(s):
+            end += 1
+            if last[end] is not None:
+                continue
+            before = last[end - arc[1]]
+            if before is not None:
+                pair = before[0], arc[0]
+                ok = pairs.get(pair)
+                if ok is None:
+                    ok = pairs[pair] = self._may_follow(*pair)
+                if not ok:
                     continue
-                last[j] = (k, i)
-                break
-        out: list[list[int]] = []
-        j = n
-        while j:
-            k, i = last[j]
-            out.append(self._emit(s[i:j]) if k < 0 else [k])
-            j = i
-        return [x for part in reversed(out) for x in part]
-
-    def _alone(self, k: int) -> bool:
-        ok = self.pairs.get((-1, k))
-        if ok is None:
-            ok = self.pairs[-1, k] = self._stays(self.spec.pieces[k])
-        return ok
-
-    def _stays(self, piece: str) -> bool:
-        return self._merge(piece) == [piece]
+            last[end] = arc
+        out: list[int] = []
+        while n:
+            arc = last[n]
+            if arc is None:
+                out += self._emit(s[n - 1])[::-1]
+                n -= 1
+            else:
+                out.append(arc[0])
+                n -= arc[1]
+        return out[::-1]
+
+    def _parts(self, k: int) -> tuple[int, int] | None:
+        """The two pieces whose merge makes piece k; None if merging its characters gives something else."""
+        joined = self._merge(self.spec.pieces[k], last=True)
+        self.parts[k] = tuple(self.ids[x] for x in joined) if joined else None
+        return self.parts[k]
 
     def _may_follow(self, a: int, b: int) -> bool:
-        """Weight of the arc from a to b: zero if merging their texts side by side gives the two again."""
+        """Weight of the arc from a to b: zero if merging their texts side by side gives the two again.
+
+        The merges that made a and b are undone, latest first; if at any point the pieces that touch could merge before
+        the merge that was just undone, the two would not have come about. A piece on the right gives way to a merge of
+        the same rank, for the leftmost of equals goes first.
+        """
         if len(self.pairs) >= 2_000_000:
             self.pairs.clear()
-        pa_, pb = self.spec.pieces[a], self.spec.pieces[b]
-        return self._merge(pa_ + pb) == [pa_, pb]
-
-    def _merge(self, s: str) -> list[str]:
-        """Merges of a string by score, the leftmost of equals first; compiles the arcs' weights."""
+        pieces, order, parts = self.spec.pieces, self.order, self.parts
+        limit = 1 << 60
+        while True:
+            both = self.ids.get(pieces[a] + pieces[b])
+            if both is not None and order[both] < limit:
+                return False
+            if order[a] < 0 and order[b] < 0:
+                return True
+            if order[a] > order[b]:
+                limit = order[a]
+                a = (parts[a] if a in parts else self._parts(a))[1]
+            else:
+                limit = order[b] + 1
+                b = (parts[b] if b in parts else self._parts(b))[0]
+
+    def _merge(self, s: str, last: bool = False) -> list[str]:
+        """Merges of a string by score, the leftmost of equals first; compiles the arcs' weights.
+
+        last: the two parts of the last merge, if that makes the whole string.
+        """
         parts: list[str | None] = list(s)
         after, before = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
         waiting: list[tuple[float, int, str]] = []
@@ -223,6 +258,8 @@ class PieceTransducer:
             j = after[i]
             if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != both:
                 continue
+            if last and both == s:
+                return [parts[i], parts[j]]
             parts[i], parts[j] = both, None
             after[i] = after[j]
             if after[j] < len(parts):
@@ -230,7 +267,7 @@ class PieceTransducer:
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        return [x for x in parts if x is not None]
+        return [] if last else [x for x in parts if x is not None]
 
     def _run(self, n: int) -> list[int]:
         """A run of n space marks, whose merges tie: the arcs of its only path are what merging gives."""
@@ -244,11 +281,18 @@ class PieceTransducer:
             return bytes([int(piece[3:5], 16)])
         return piece.replace(SPACE, " ").encode() if kind in (NORMAL, USER_DEFINED, UNUSED) else " ⁇ ".encode() if kind == UNKNOWN else b""
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """The inverse machine: pieces and bytes to text, without the leading space that the normaliser added."""
         text = b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.spec.add_dummy_prefix and text.startswith(" ") else text
 
+    def comes_back(self, text: str, ids) -> bool:
+        """Whether decoding the ids of the text gives it again."""
+        words = text.split(" ") if text else []
+        if "" in words or SPACE in text or not self.spec.add_dummy_prefix or not self.cuts:
+            return self.decode(ids) == self.round_trip(text)
+        return not self.table.lossy or self.table.lossy.isdisjoint(words)
+
     def round_trip(self, text: str) -> str:
         """What decoding gives if encoding lost nothing: the text with the mark itself read as a space."""
         body = self.normalise(text).replace(SPACE, " ")
@@ -273,11 +317,10 @@ def encode_documents(documents: DataFrame, model_path: str, id_col: str = "doc_i
                 values, ends, shas, same = [], [0], [], []
                 for text in texts_of(part.column(1)):
                     ids = machine.encode(text)
-                    array = np.array(ids, np.int32)
-                    values.append(array)
+                    values.append(ids)
                     ends.append(ends[-1] + len(ids))
-                    shas.append(hashlib.sha256(array.astype("<i4").tobytes()).hexdigest())
-                    same.append(machine.decode(ids) == machine.round_trip(text))
+                    shas.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
+                    same.append(machine.comes_back(text, ids))
                 flat = np.concatenate(values) if values else np.zeros(0, np.int32)
                 columns = [part.column(0), pa.array(np.diff(ends), pa.int64())]
                 if with_ids:
