@@ -150,7 +150,7 @@ def _scrape(text, pattern):
     return T.literal(m[1]) if m and m.re.groups and m[1] is not None else None
 
 
-register(STRING.scrape, "function", _scrape, lambda a, b: F.when(F.rlike(T.text_of(a), T.text_of(b)), T.make_literal(F.regexp_extract(T.text_of(a), T.text_of(b), F.lit(1)), XSD.string)), many=True)
+register(STRING.scrape, "function", _scrape, lambda a, b: F.when(F.rlike(T.text_of(a), T.text_of(b)), T.make_literal(F.call_function("regexp_extract", T.text_of(a), T.text_of(b), F.lit(1)), XSD.string)), many=True)
 register(STRING.length, "function", lambda a: None if _text(a) is None else f'"{len(_text(a))}"^^{XSD.integer}', lambda a: T.make_literal(F.length(T.text_of(a)).cast("string"), XSD.integer))
 register(DT.datatype, "function", lambda a: T.split_literal(a)[1] if a[:1] == '"' else None, T.datatype_of)
 register(DT.lexicalForm, "function", lambda a: T.literal(T.split_literal(a)[0]) if a[:1] == '"' else None, lambda a: T.make_literal(T.lexical_form(a), XSD.string))

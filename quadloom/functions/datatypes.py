@@ -9,7 +9,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quadloom.terms import datatype_of, is_literal, language_of, lexical_form, make_literal, split_literal
+from quadloom.terms import datatype_of, is_literal, language_of, let, lexical_form, make_literal, split_literal
 from quadloom.vocab import OWL, RDF, RDFS, XSD
 
 #: Fixed values (XSD 1.1 part 2): derived datatype -> base.
@@ -154,6 +154,10 @@ def number_column(x: Column, inputs: list[Column]) -> Column:
 
 def valid_column(lexical: Column, datatype: Column) -> Column:
     """Whether the lexical form belongs to the datatype; true for datatypes that aren't known."""
+    return let([lexical, datatype], _valid)
+
+
+def _valid(lexical: Column, datatype: Column) -> Column:
     out = F.lit(True)
     for name in DECLARED:
         ok = F.lit(True)
@@ -173,13 +177,16 @@ def valid_column(lexical: Column, datatype: Column) -> Column:
 
 def value_key(c: Column) -> Column:
     """A string that two literals share exactly when their values are equal; null for ill-formed ones and other terms."""
-    lexical, datatype = lexical_form(c), datatype_of(c)
+    return let([c, lexical_form(c), datatype_of(c), language_of(c)], _value_key)
+
+
+def _value_key(c: Column, lexical: Column, datatype: Column, language: Column) -> Column:
     family = lambda names: datatype.isin([XSD[n] for n in sorted(names)])
     trimmed = F.regexp_replace(F.regexp_replace(lexical, r"^\+", ""), r"^(-?)0+(?=[0-9])", "$1")
     fraction = F.when(trimmed.contains("."), F.regexp_replace(F.regexp_replace(trimmed, r"0+$", ""), r"\.$", "")).otherwise(trimmed)
     decimal = F.regexp_replace(F.regexp_replace(fraction, r"^(-?)\.", "$10."), r"^-0$", "0")
     out = (
-        F.when(language_of(c).isNotNull(), F.concat(F.lit("l"), language_of(c), F.lit(" "), lexical))
+        F.when(language.isNotNull(), F.concat(F.lit("l"), language, F.lit(" "), lexical))
         .when(family(INTEGERS | {"decimal"}), F.concat(F.lit("n"), F.when(decimal == "", F.lit("0")).otherwise(decimal)))
         .when(datatype == XSD.double, F.concat(F.lit("d"), numeric_value(c).cast("string")))
         .when(datatype == XSD.float, F.concat(F.lit("f"), numeric_value(c).cast("float").cast("string")))
@@ -189,12 +196,15 @@ def value_key(c: Column) -> Column:
         .when(family({"string", "normalizedString", "token", "language", "Name", "NCName", "NMTOKEN"}), F.concat(F.lit("s"), lexical))
         .otherwise(F.concat(F.lit("x"), c))
     )
-    return F.when(is_literal(c) & valid_column(lexical, datatype), out)
+    return F.when(is_literal(c) & _valid(lexical, datatype), out)
 
 
 def canonical(c: Column) -> Column:
     """The literal in canonical form: numbers without needless signs and zeros, booleans as words, hex in capitals."""
-    key, datatype = value_key(c), datatype_of(c)
+    return let([c, value_key(c), datatype_of(c)], _canonical)
+
+
+def _canonical(c: Column, key: Column, datatype: Column) -> Column:
     body = F.substring(key, F.lit(2), F.length(key))
     decimal = F.when(datatype == XSD.decimal, F.when(body.contains("."), body).otherwise(F.concat(body, F.lit(".0")))).otherwise(body)
     return F.when(key.startswith("n"), make_literal(decimal, datatype)).when(key.startswith("b") | key.startswith("h"), make_literal(body, datatype)).when(key.startswith("d") | key.startswith("f"), make_literal(body, datatype)).when(key.isNotNull(), c)

@@ -18,7 +18,7 @@ from quadloom.functions.builtins import REGISTRY
 from quadloom.plans.compile import RuleFault, Variant
 from quadloom.plans.rules import Atom, Formula, ListTerm, Var, rename, variables
 from quadloom.plans.storage import stored
-from quadloom.terms import COLUMNS, is_iri, is_literal
+from quadloom.terms import COLUMNS, is_iri, is_literal, let
 from quadloom.vocab import LIST, LOG
 
 MAX_BROADCAST_ROWS = 100_000
@@ -39,7 +39,7 @@ def _col(term, row: dict[str, Column] | None = None) -> Column:
     raise RuleFault(f"{term!r} has no column")
 
 
-def scan(facts: DataFrame, atom: Atom) -> DataFrame:
+def scan(facts: DataFrame, atom: Atom, keep: list[str] | None = None) -> DataFrame:
     """Statements that match the pattern: msg_id and a column for each variable. Constants become pushed filters."""
     conditions, columns = [], {}
     for c, term in zip("spo", atom.terms, strict=True):
@@ -54,7 +54,7 @@ def scan(facts: DataFrame, atom: Atom) -> DataFrame:
             raise RuleFault(f"{term!r} in a pattern over data; lists are matched in the background only")
     if conditions:
         facts = facts.where(reduce(lambda a, b: a & b, conditions))
-    return facts.select("msg_id", *(c.alias(f"v_{n}") for n, c in columns.items()))
+    return facts.select("msg_id", *(c for c in keep or [] if c in facts.columns), *(c.alias(f"v_{n}") for n, c in columns.items()))
 
 
 def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -64,7 +64,8 @@ def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataF
     return left.join(right, shared, how) if shared else left.crossJoin(right)
 
 
-def _builtin(df: DataFrame, atom: Atom, facts: DataFrame, lists: DataFrame | None) -> DataFrame:
+def _builtin(df: DataFrame, atom: Atom, facts: DataFrame, lists: DataFrame | None, computed: set[str]) -> DataFrame:
+    """computed: variables that builtins made so far; what is computed from them is computed once."""
     has = lambda t: isinstance(t, str) or isinstance(t, Var) and f"v_{t.name}" in df.columns
     if atom.p in (LOG.includes, LOG.notIncludes):
         if not isinstance(atom.o, Formula):
@@ -88,32 +89,36 @@ def _builtin(df: DataFrame, atom: Atom, facts: DataFrame, lists: DataFrame | Non
     known = REGISTRY[atom.p]
     args = [_col(x) for x in atom.s.items] if isinstance(atom.s, ListTerm) else [_col(atom.s)]
     if known.kind == "test":
-        return df.where(known.column(*args, _col(atom.o)))
-    value = known.column(*args)
+        args.append(_col(atom.o))
+    made = computed & variables(atom)
+    value = let(args, known.column) if made else known.column(*args)
+    if known.kind == "test":
+        return df.where(value)
+    computed |= variables(atom.o)
     if has(atom.o):
         return df.where(value == _col(atom.o))
     return df.withColumn(f"v_{atom.o.name}", value).where(F.col(f"v_{atom.o.name}").isNotNull())
 
 
-def solutions(v: Variant, sources: list[DataFrame], facts: DataFrame, lists: DataFrame | None = None) -> DataFrame:
-    """Solutions of a variant whose i-th data pattern reads sources[i]; negation reads facts."""
+def solutions(v: Variant, sources: list[DataFrame], facts: DataFrame, lists: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Solutions of a variant whose i-th data pattern reads sources[i]; negation reads facts. keep: more columns of sources."""
     spark = facts.sparkSession
     static = small(spark, v.static, [f"v_{n}" for n in v.static_vars]) if v.static_vars else None
-    df, pending = None, list(v.builtins)
+    df, pending, computed = None, list(v.builtins), set()
     todo = list(range(len(v.data)))
     while todo:
         at = next((i for i in todo if df is None or variables(v.data[i]) & {c[2:] for c in df.columns}), todo[0])
         todo.remove(at)
-        df = _join(df, scan(sources[at], v.data[at]))
+        df = _join(df, scan(sources[at], v.data[at], keep))
         if static is not None and (set(static.columns) & set(df.columns) or not todo):
             df, static = _join(df, static), None
         # A test is applied as soon as its variables are there, so that later joins see fewer rows.
         for b in list(pending):
             if b.p not in (LOG.includes, LOG.notIncludes) and (b.p not in REGISTRY or REGISTRY[b.p].kind == "test") and variables(b) <= {c[2:] for c in df.columns} and b.p != LIST.member:
-                df = _builtin(df, b, facts, lists)
+                df = _builtin(df, b, facts, lists, computed)
                 pending.remove(b)
     for b in pending:
-        df = _builtin(df, b, facts, lists)
+        df = _builtin(df, b, facts, lists, computed)
     return df
 
 

@@ -41,6 +41,15 @@ def split_literal(key: str) -> tuple[str, str, str | None] | None:
     return m[1], f"<{m[2]}>" if m[2] is not None else "<http://www.w3.org/1999/02/22-rdf-syntax-ns#langString>", m[3]
 
 
+def let(values: list[Column], body) -> Column:
+    """body(*values) with each value computed once however often the body names it.
+
+    Without it, a large expression over a large expression grows with the product of their sizes when filters are pushed
+    through projections. For terms (strings) only.
+    """
+    return F.transform(F.array(F.array(*values)), lambda v: body(*(v[i] for i in range(len(values)))))[0]
+
+
 def is_iri(c: Column) -> Column:
     return c.startswith("<")
 
