@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from quadloom.operators import emit, owl, quantities, shape_plan, skos
 from quadloom.plans.compile import Variant, check, inline_helpers, specialise
-from quadloom.plans.fixpoint import fixpoint
+from quadloom.plans.fixpoint import data_lists, fixpoint, small
 from quadloom.plans.local import Index, Triple, closure
 from quadloom.plans.rules import Atom, ListTerm, Rule
 from quadloom.plans.storage import stored
 from quadloom.sources.rdf import lists_of, parse
 from quadloom.terms import COLUMNS, STATEMENT
-from quadloom.vocab import FIRST, INC, REST, TYPE
+from quadloom.vocab import FIRST, INC, LIST, REST, TYPE
 
 PROFILES = ("owl2rl", "skos", "qudt")
 #: Beyond so many different predicates and classes the data is taken to hold any.
@@ -122,10 +122,14 @@ class Engine:
                 out.add((rule.name, tuple(rename(t, b) for t in terms)))
         return sorted(out)
 
-    def lists(self) -> DataFrame | None:
-        """head, items, len of the background's lists; a driver table, as the background is."""
-        rows = [(h, items, len(items)) for h, items in lists_of(self.background.all).items() if items]
-        return F.broadcast(self.spark.createDataFrame(rows, "head string, items array<string>, len int")) if rows else None
+    def lists(self, facts: DataFrame | None = None, available=None) -> list[DataFrame]:
+        """Lists of the background (head, item; a driver table, as the background is) and of the data (with msg_id)."""
+        rows = [(h, x) for h, items in lists_of(self.background.all).items() for x in items]
+        out = [small(self.spark, rows, ["head", "item"])] if rows else []
+        uses = any(a.p == LIST.member for r in self.rules for a in r.body)
+        if facts is not None and uses and (available is None or any(p == REST for p, _ in available)):
+            out.append(data_lists(facts))
+        return out
 
     def compile(self, available=None) -> list[Variant]:
         self._need()
@@ -144,7 +148,7 @@ class Engine:
         seen = facts if known_before is None else facts.unionByName(known_before)
         available = self._available(seen)
         variants = self.compile(available)
-        lists = self.lists()
+        lists = self.lists(seen, available)
         divisions = self.divisions
 
         def extra(delta: DataFrame, known: DataFrame) -> list[DataFrame]:

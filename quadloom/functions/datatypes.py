@@ -61,14 +61,12 @@ def subtypes() -> list[tuple[str, str]]:
 def valid(lexical: str, datatype: str) -> bool:
     """Unknown datatypes have no invalid literals."""
     name = short(datatype)
-    for a in ancestors(name) if name else ():
-        pattern = PATTERNS.get("double" if a == "float" else a)
-        if pattern and not re.fullmatch(pattern, lexical, re.S):
-            return False
-        low, high = BOUNDS.get(a, (None, None))
-        if low is not None and int(lexical) < low or high is not None and int(lexical) > high:
-            return False
-    return True
+    above = ancestors(name) if name else []
+    patterns = [PATTERNS.get("double" if a == "float" else a) for a in above]
+    if not all(re.fullmatch(x, lexical, re.S) for x in patterns if x):
+        return False
+    bounds = [BOUNDS[a] for a in above if a in BOUNDS]
+    return all((low is None or int(lexical) >= low) and (high is None or int(lexical) <= high) for low, high in bounds)
 
 
 def value(key: str):

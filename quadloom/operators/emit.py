@@ -41,7 +41,7 @@ def emitted(df: DataFrame, mode: str = "application") -> DataFrame:
     return df.where(keep)
 
 
-def reports(facts: DataFrame, contradictions: list[tuple], lists: DataFrame | None = None, mode: str = "application", scope: str = "") -> DataFrame:
+def reports(facts: DataFrame, contradictions: list[tuple], lists: list[DataFrame] | None = None, mode: str = "application", scope: str = "") -> DataFrame:
     """contradictions: (variant, terms). Rows msg_id, id, rule, terms; one per different evidence.
 
     The id depends on rule and terms (and the scope of a store), so a report is the same row however often it is found.

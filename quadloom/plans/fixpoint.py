@@ -19,7 +19,7 @@ from quadloom.plans.compile import RuleFault, Variant
 from quadloom.plans.rules import Atom, Formula, ListTerm, Var, rename, variables
 from quadloom.plans.storage import stored
 from quadloom.terms import COLUMNS, is_iri, is_literal, let
-from quadloom.vocab import LIST, LOG
+from quadloom.vocab import FIRST, LIST, LOG, NIL, REST
 
 MAX_BROADCAST_ROWS = 100_000
 
@@ -39,6 +39,18 @@ def _col(term, row: dict[str, Column] | None = None) -> Column:
     raise RuleFault(f"{term!r} has no column")
 
 
+def data_lists(facts: DataFrame) -> DataFrame:
+    """msg_id, head, item of the lists in the data. Lists that don't end in rdf:nil (cyclic or broken) have no items."""
+    from quadloom.operators.paths import transitive_closure
+
+    rest = facts.where((F.col("p") == REST)).select("msg_id", F.col("s").alias("a"), F.col("o").alias("b"))
+    reach = stored(transitive_closure(rest), "lists")
+    whole = reach.where(F.col("b") == NIL).select("msg_id", F.col("a").alias("head"))
+    cells = reach.select("msg_id", F.col("a").alias("head"), F.col("b").alias("cell")).unionByName(whole.withColumn("cell", F.col("head")))
+    first = facts.where(F.col("p") == FIRST).select("msg_id", F.col("s").alias("cell"), F.col("o").alias("item"))
+    return stored(cells.join(whole, ["msg_id", "head"], "left_semi").join(first, ["msg_id", "cell"]).select("msg_id", "head", "item").distinct(), "lists")
+
+
 def scan(facts: DataFrame, atom: Atom, keep: list[str] | None = None) -> DataFrame:
     """Statements that match the pattern: msg_id and a column for each variable. Constants become pushed filters."""
     conditions, columns = [], {}
@@ -64,7 +76,7 @@ def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataF
     return left.join(right, shared, how) if shared else left.crossJoin(right)
 
 
-def _builtin(df: DataFrame, atom: Atom, facts: DataFrame, lists: DataFrame | None, computed: set[str]) -> DataFrame:
+def _builtin(df: DataFrame, atom: Atom, facts: DataFrame, lists: list[DataFrame] | None, computed: set[str]) -> DataFrame:
     """computed: variables that builtins made so far; what is computed from them is computed once."""
     has = lambda t: isinstance(t, str) or isinstance(t, Var) and f"v_{t.name}" in df.columns
     if atom.p in (LOG.includes, LOG.notIncludes):
@@ -81,10 +93,11 @@ def _builtin(df: DataFrame, atom: Atom, facts: DataFrame, lists: DataFrame | Non
     if atom.p == LIST.member:
         if isinstance(atom.s, ListTerm):
             met = df.withColumn("_item", F.explode(F.array(*map(_col, atom.s.items))))
-        elif lists is not None:
-            met = df.join(lists.withColumnRenamed("head", "_head"), _col(atom.s) == F.col("_head")).withColumn("_item", F.explode("items")).drop("_head", "items", "len")
         else:
-            return df.where("false")
+            own = [t.withColumnRenamed("head", "_head").withColumnRenamed("item", "_item") for t in lists or ()]
+            parts = [df.join(t, (_col(atom.s) == F.col("_head")), "inner") if "msg_id" not in t.columns else df.join(t.withColumnRenamed("msg_id", "_msg"), (_col(atom.s) == F.col("_head")) & (F.col("msg_id") == F.col("_msg"))).drop("_msg") for t in own]
+            met = reduce(DataFrame.unionByName, parts) if parts else df.where("false").withColumn("_head", F.lit(None).cast("string")).withColumn("_item", F.lit(None).cast("string"))
+            met = met.drop("_head")
         return (met.where(F.col("_item") == _col(atom.o)) if has(atom.o) else met.withColumn(f"v_{atom.o.name}", F.col("_item"))).drop("_item")
     known = REGISTRY[atom.p]
     args = [_col(x) for x in atom.s.items] if isinstance(atom.s, ListTerm) else [_col(atom.s)]
@@ -100,7 +113,7 @@ def _builtin(df: DataFrame, atom: Atom, facts: DataFrame, lists: DataFrame | Non
     return df.withColumn(f"v_{atom.o.name}", value).where(F.col(f"v_{atom.o.name}").isNotNull())
 
 
-def solutions(v: Variant, sources: list[DataFrame], facts: DataFrame, lists: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+def solutions(v: Variant, sources: list[DataFrame], facts: DataFrame, lists: list[DataFrame] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Solutions of a variant whose i-th data pattern reads sources[i]; negation reads facts. keep: more columns of sources."""
     spark = facts.sparkSession
     static = small(spark, v.static, [f"v_{n}" for n in v.static_vars]) if v.static_vars else None
@@ -152,6 +165,51 @@ def mapping_rows(variants: Iterable[Variant]) -> dict[tuple[str, ...], list[tupl
     return {k: sorted(rows) for k, rows in out.items()}
 
 
+def close_mappings(tables: dict[tuple[str, ...], list[tuple]], most: int = 100_000) -> tuple[dict[tuple[str, ...], list[tuple]], bool]:
+    """Adds what two mappings give one after the other, until nothing is new; False if that isn't finished.
+
+    Over closed tables one application is enough: what it gives needn't be looked up again.
+    """
+    rows = [({c: k for c, k in zip(keys, r, strict=False)}, r[-3:]) for keys, table in tables.items() for r in table if not r[len(keys)]]
+    if len(rows) < sum(map(len, tables.values())):
+        return tables, False  # patterns with a repeated variable aren't composed
+    freeze = lambda pattern, head: (tuple(sorted(pattern.items())), head)
+    seen, todo = {freeze(*r) for r in rows}, list(rows)
+    by_p: dict[str | None, list] = {}
+    for r in rows:
+        by_p.setdefault(r[0].get("p"), []).append(r)
+    steps = 0
+    while todo:
+        pattern, head = todo.pop()
+        terms = dict(zip("spo", head, strict=True))
+        after = by_p.get(None, []) + (by_p.get(terms["p"], []) if terms["p"][0] != "$" else [x for p, xs in by_p.items() if p is not None for x in xs])
+        for second, out in list(after):
+            steps += 1
+            joined = dict(pattern)
+            for c, wanted in second.items():
+                have = terms[c]
+                if have[0] == "$":
+                    have = joined.setdefault(have[1], wanted)
+                if have != wanted:
+                    break
+            else:
+                made = tuple(terms[t[1]] if t[0] == "$" else t for t in out)
+                made = tuple(joined.get(t[1], t) if t[0] == "$" else t for t in made)
+                same = tuple(joined.get(c, f"${c}") for c in "spo")
+                if made == same or freeze(joined, made) in seen:
+                    continue
+                seen.add(freeze(joined, made))
+                todo.append((joined, made))
+                by_p.setdefault(joined.get("p"), []).append((joined, made))
+        if len(seen) > most or steps > 20 * most:
+            return tables, False
+    closed: dict[tuple[str, ...], list[tuple]] = {}
+    for pattern, head in seen:
+        keys = tuple(c for c in "spo" if c in dict(pattern))
+        closed.setdefault(keys, []).append((*(dict(pattern)[c] for c in keys), "", *head))
+    return {k: sorted(v) for k, v in closed.items()}, True
+
+
 def apply_mappings(delta: DataFrame, tables: dict[tuple[str, ...], list[tuple]]) -> list[DataFrame]:
     """One scan and one broadcast lookup for each kind of key, however many rules stand behind it."""
     out = []
@@ -166,7 +224,7 @@ def apply_mappings(delta: DataFrame, tables: dict[tuple[str, ...], list[tuple]])
     return out
 
 
-def fixpoint(facts: DataFrame, variants: list[Variant], lists: DataFrame | None = None, max_rounds: int = 100, max_facts: int | None = None, extra: Callable[[DataFrame, DataFrame], list[DataFrame]] | None = None, known_before: DataFrame | None = None) -> DataFrame:
+def fixpoint(facts: DataFrame, variants: list[Variant], lists: list[DataFrame] | None = None, max_rounds: int = 100, max_facts: int | None = None, extra: Callable[[DataFrame, DataFrame], list[DataFrame]] | None = None, known_before: DataFrame | None = None) -> DataFrame:
     """facts (msg_id, s, p, o) -> the new statements. Exceeding a limit is an error, never a partial result.
 
     extra(delta, known): more candidates per round (operators that aren't joins). Variants with negation run once the
@@ -176,54 +234,55 @@ def fixpoint(facts: DataFrame, variants: list[Variant], lists: DataFrame | None
     simple = [v for v in variants if v.simple]
     joins = [v for v in variants if not v.simple and not v.negative]
     negative = [v for v in variants if v.negative]
-    tables = mapping_rows(simple)
+    tables, closed = close_mappings(mapping_rows(simple))
     known = [stored(facts.select(*COLUMNS).distinct(), "facts")]
     if known_before is not None:
         known.append(known_before.select(*COLUMNS))
     new: list[DataFrame] = []
-    delta, rounds = known[0], 0
-    total = 0
+    # Facts that mappings must be applied to: with closed tables, those that no mapping gave.
+    delta = unmapped = known[0]
+    rounds = total = 0
+    only_mappings = closed and not joins and not extra
 
     def everything() -> DataFrame:
         return reduce(DataFrame.unionByName, known)
 
-    def candidates(delta: DataFrame) -> list[DataFrame]:
-        out, all_facts = apply_mappings(delta, tables), everything()
-        for v in joins:
-            for i in range(len(v.data)):
-                out.append(instantiate(solutions(v, [delta if i == k else all_facts for k in range(len(v.data))], all_facts, lists), v.head))
-        return out + (extra(delta, all_facts) if extra else [])
+    def candidates() -> list[DataFrame]:
+        all_facts = everything()
+        out = [df.withColumn("joined", F.lit(0)) for df in apply_mappings(unmapped, tables)]
+        made = [instantiate(solutions(v, [delta if i == k else all_facts for k in range(len(v.data))], all_facts, lists), v.head) for v in joins for i in range(len(v.data))]
+        made += extra(delta, all_facts) if extra else []
+        return out + [df.withColumn("joined", F.lit(1)) for df in made]
 
     def negatives() -> list[DataFrame]:
         every = everything()
-        return [instantiate(solutions(v, [every] * len(v.data), every, lists), v.head) for v in negative]
+        return [instantiate(solutions(v, [every] * len(v.data), every, lists), v.head).withColumn("joined", F.lit(1)) for v in negative]
 
     settled = False
     while True:
-        found = candidates(delta) if not settled else negatives()
-        if not found:
-            if settled or not negative:
-                break
-            settled = True
-            continue
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"did not converge in {max_rounds} rounds")
-        fresh = reduce(DataFrame.unionByName, found).distinct().join(everything(), COLUMNS, "left_anti")
-        fresh = stored(fresh, "delta")
-        n = fresh.count()
-        total += n
-        if max_facts is not None and total > max_facts:
-            raise RuntimeError(f"closure exceeded {max_facts} facts")
-        if not n:
-            if settled or not negative:
-                break
+        found = negatives() if settled else candidates()
+        n = 0
+        if found:
+            rounds += 1
+            if rounds > max_rounds:
+                raise RuntimeError(f"did not converge in {max_rounds} rounds")
+            fresh = reduce(DataFrame.unionByName, found).groupBy(*COLUMNS).agg(F.min("joined").alias("joined")).join(everything(), COLUMNS, "left_anti")
+            fresh = stored(fresh, "delta")
+            n = fresh.count()
+            total += n
+            if max_facts is not None and total > max_facts:
+                raise RuntimeError(f"closure exceeded {max_facts} facts")
+        if n:
+            delta = fresh.select(*COLUMNS)
+            unmapped = fresh.where("joined = 1").select(*COLUMNS) if closed else delta
+            known.append(delta)
+            new.append(delta)
+        if n and not (only_mappings and not settled):
+            settled = False
+        elif settled or not negative:
+            break
+        else:
             settled = True
-            continue
-        settled = False
-        delta = fresh
-        known.append(fresh)
-        new.append(fresh)
     if not new:
         return spark.createDataFrame([], "msg_id long, s string, p string, o string")
     return reduce(DataFrame.unionByName, new)

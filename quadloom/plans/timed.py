@@ -23,7 +23,7 @@ def _as_statements(df: DataFrame) -> DataFrame:
     return df.select(F.col("t").alias("msg_id"), "s", "p", "o")
 
 
-def _joined(v: Variant, sources: list[DataFrame], every: DataFrame, lists: DataFrame | None) -> DataFrame:
+def _joined(v: Variant, sources: list[DataFrame], every: DataFrame, lists: list[DataFrame] | None) -> DataFrame:
     """Solutions over facts of any time: a pattern's time is bound like a variable of its own, and the latest counts."""
     from quadloom.plans.rules import Atom
 
@@ -36,7 +36,7 @@ def _joined(v: Variant, sources: list[DataFrame], every: DataFrame, lists: DataF
     return made.withColumn("msg_id", F.greatest(*times) if len(times) > 1 else times[0])
 
 
-def timed_fixpoint(facts: DataFrame, variants: list[Variant], lists: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+def timed_fixpoint(facts: DataFrame, variants: list[Variant], lists: list[DataFrame] | None = None, max_rounds: int = 100) -> DataFrame:
     """facts (s, p, o, t) -> all facts with their times; a fact whose time falls enters the next round again."""
     if any(v.negative for v in variants):
         raise RuleFault("rules with negation depend on the order of messages and can't be timed")
