@@ -185,21 +185,12 @@ def starts_of(rows, keys: list[str]) -> np.ndarray:
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 and edges (a, b): the smallest node of each node's component."""
     label = np.arange(n)
-    while len(a):
+    while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-        on = label[a] != label[b]
-        if not on.any():
-            break
-        a, b = a[on], b[on]
-    while (label[label] != label).any():
-        label = label[label]
-    return label
