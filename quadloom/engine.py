@@ -9,8 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.operators import emit, owl, quantities, shape_plan, skos
-from quadloom.plans.compile import Variant, check, inline_helpers, specialise
+from quadloom.operators import emit, literals, owl, quantities, shape_plan, skos
+from quadloom.plans import sql
+from quadloom.plans.compile import RuleFault, Variant, check, inline_helpers, specialise
 from quadloom.plans.fixpoint import data_lists, fixpoint, small
 from quadloom.plans.local import Index, Triple, closure
 from quadloom.plans.rules import Atom, ListTerm, Rule
@@ -137,6 +138,26 @@ class Engine:
             return self.compiler({"rules": self.rules, "background": self.background, "available": available})
         return specialise(self.rules, self.background, available if self.select else None)
 
+    def sql_program(self, facts: DataFrame | None = None) -> sql.Translation:
+        """The rules that can run, as SQL over the background's closure as seeds; what has no translation is a warning.
+
+        Rules that the background alone decides are dropped with `facts` given: only what their names can reach is kept.
+        """
+        self._need()
+        reachable = None
+        if facts is not None:
+            reachable = {v.name for v in self.compile(self._available(facts))}
+        program, notes = sql.Program(sorted(self.background.all)), []
+        for r in self.rules:
+            if reachable is not None and r.name not in reachable:
+                continue
+            try:
+                program.rules.append(sql.rule_sql(r))
+                program.names.append(r.name)
+            except RuleFault as e:
+                notes.append({"severity": "warning", "message": str(e)})
+        return sql.Translation(program, notes)
+
     # --- infer ------------------------------------------------------------------------------------------------------
 
     def _available(self, facts: DataFrame) -> set | None:
@@ -178,6 +199,9 @@ class Engine:
             made = quantities.normalise(every, self.units)
             if made is not None:
                 derived = derived.unionByName(made.join(every, COLUMNS, "left_anti"))
+        if mode == "conformance" and "owl2rl" in self.profiles:
+            made = literals.typings(every).unionByName(literals.equalities(every)).unionByName(literals.differences(every))
+            derived = derived.unionByName(made.join(every, COLUMNS, "left_anti"))
         out = emit.emitted(emit.unique(derived), mode)
         if self.shapes_out is not None:
             out = shape_plan.project_output(out, self.shapes_out)

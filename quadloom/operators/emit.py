@@ -51,7 +51,7 @@ def reports(facts: DataFrame, contradictions: list[tuple], lists: list[DataFrame
     for variant, terms in contradictions:
         df = solutions(variant, [facts] * len(variant.data), facts, lists)
         values = [F.lit(t) if isinstance(t, str) else F.col(f"v_{t.name}") for t in terms]
-        rule = INC[variant.name]
+        rule = INC[variant.name.split()[0]]
         out.append(df.select("msg_id", F.lit(rule).alias("rule"), F.array(*values).alias("terms")))
     if not out:
         return facts.sparkSession.createDataFrame([], REPORT)

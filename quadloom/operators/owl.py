@@ -78,9 +78,10 @@ ENTAILMENTS = {
     "com-subclass2": "?c owl:disjointWith ?d. ?k owl:complementOf ?c => ?d rdfs:subClassOf ?k",
 }
 
-#: name: (body, terms of the report).
+#: name: (body, terms of the report). What stands after a blank tells rules of one report apart.
 CONTRADICTIONS = {
     "eq-diff1": ("?x owl:sameAs ?y. ?x owl:differentFrom ?y", "x y"),
+    "eq-diff1 literal": ("?x owl:sameAs ?y. ?x dt:differentValueFrom ?y", "x y"),
     "prp-irp": ("?p a owl:IrreflexiveProperty. ?x ?p ?x", "p x"),
     "prp-asyp": ("?p a owl:AsymmetricProperty. ?x ?p ?y. ?y ?p ?x", "p x y"),
     "prp-pdw": ("?p owl:propertyDisjointWith ?q. ?x ?p ?y. ?x ?q ?y", "p q x y"),

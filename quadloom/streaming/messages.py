@@ -98,7 +98,7 @@ def _timed_reports(engine: Engine, known: DataFrame, available, base, scope: str
         for v in specialise([r], engine.background, names):
             met = _joined(v, [known] * len(v.data), known, engine.lists())
             terms = [F.lit(t) if isinstance(t, str) else F.col(f"v_{t.name}") for t in v.head[0].o.items]
-            parts.append(met.select("msg_id", F.lit(INC[r.name]).alias("rule"), F.array(*terms).alias("terms")))
+            parts.append(met.select("msg_id", F.lit(INC[r.name.split()[0]]).alias("rule"), F.array(*terms).alias("terms")))
     if not parts:
         return engine.spark.createDataFrame([], emit.REPORT)
     rows = reduce(DataFrame.unionByName, parts).groupBy("rule", "terms").agg(F.min("msg_id").alias("msg_id")).where(F.col("msg_id") > base)
