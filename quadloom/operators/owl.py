@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from quadloom.functions.builtins import is_builtin
 from quadloom.functions.datatypes import AXIOMS, BOUNDS, ancestors, short, subtypes
 from quadloom.plans.local import Index, Triple
 from quadloom.plans.rules import Atom, Rule, Var
@@ -215,7 +216,7 @@ def schema_closure(triples: Iterable[Triple], more_rules: Iterable[Rule] = (), w
     start += list_facts(base)
     every = [*(r for r in rules() if r.name != "eq-rep-p" or base.by_p.get(OWL.sameAs)), *made, *more_rules]
     used = {p for _, p, _ in start} | {x for r in every for x in (a.p for a in r.head) if isinstance(x, str)}
-    every = [r for r in every if all(not isinstance(a.p, str) or a.p in used or a.p.startswith("<http://www.w3.org/2000/10/swap") or a.p.startswith("<https://eyereasoner") for a in r.body)]
+    every = [r for r in every if all(not isinstance(a.p, str) or a.p in used or is_builtin(a.p) for a in r.body)]
     index, _ = closure(start, every)
     extra = [t for t in range_meets(index) if t not in index.all]
     if extra:

@@ -29,6 +29,7 @@ LOG = Namespace("http://www.w3.org/2000/10/swap/log#")
 MATH = Namespace("http://www.w3.org/2000/10/swap/math#")
 STRING = Namespace("http://www.w3.org/2000/10/swap/string#")
 LIST = Namespace("http://www.w3.org/2000/10/swap/list#")
+#: Fixed value: the namespace of the datatype builtins that rules use.
 DT = Namespace("https://eyereasoner.github.io/eyeling/datatype#")
 
 #: Terms of our own.
