@@ -12,7 +12,7 @@ from quadloom.engine import Engine
 from quadloom.operators import emit, quantities, shape_plan
 from quadloom.plans.rules import Atom, ListTerm, Rule
 from quadloom.plans.compile import specialise
-from quadloom.plans.storage import stored
+from quadloom.plans.storage import stored, work_folder
 from quadloom.plans.timed import _joined, timed_fixpoint
 from quadloom.terms import COLUMNS
 from quadloom.vocab import INC, TYPE
@@ -30,6 +30,11 @@ class FactStore:
         if clear:
             self.clear()
 
+    @classmethod
+    def temporary(cls, spark: SparkSession, name: str) -> FactStore:
+        """A store of this session only, in its working folder."""
+        return cls(spark, name, f"{work_folder(spark)}/quadloom/stores", clear=True)
+
     def _fs(self):
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where

@@ -128,7 +128,8 @@ def test_store_sees_earlier_messages(spark, tmp_path):
     engine = Engine(spark).load(HEAD + ONTOLOGY)
     log = 'VERSION "1.2-messages"\nPREFIX : <urn:x:>\n:al a :Female .\nMESSAGE\nMESSAGE\n:bo :hasParent :al . :x a :A .'
     store = FactStore(spark, "one", str(tmp_path), clear=True)
-    out, _ = infer_with_store(engine, statements(spark, log), store)
+    out0, _ = infer_with_store(engine, statements(spark, log), store)
+    out = out0
     got = [r for r in rows(out) if "Thing" not in r[3]]
     assert {(2, X("al"), TYPE, X("Parent")), (2, X("al"), TYPE, X("Mother"))} <= set(got) and all(r[0] == 2 for r in got)
     later = statements(spark, [(X("x"), TYPE, X("B"))], msg_id=7)
@@ -138,6 +139,8 @@ def test_store_sees_earlier_messages(spark, tmp_path):
     assert other.first().id != found.first().id  # another store, another scope
     again, _ = infer_with_store(engine, statements(spark, log), FactStore(spark, "one", str(tmp_path)))
     assert again.count() == 0
+    passing, _ = infer_with_store(engine, statements(spark, log), FactStore.temporary(spark, "one"))
+    assert sorted(rows(passing)) == sorted(rows(out0))
 
 
 def test_stream(spark, tmp_path):

@@ -85,3 +85,13 @@ def test_rdf_xml_with_imports():
     assert ("<urn:B>", RDFS.subClassOf, "<urn:D>") in got and ("<urn:A>", RDFS.label, '"A"@en') in got
     index = Index(got)
     assert index.items(next(o for s, p, o in got if p == OWL.unionOf)) == ["<urn:B>", "<urn:C>"]
+
+
+def test_addresses_with_negotiation():
+    from quadloom.sources.remote import UnknownMedia, fetch
+
+    pages = {"http://x/a": ("<b> a <C> .", "text/turtle; charset=utf-8"), "http://x/a.rdf": ('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="b"/></rdf:RDF>', ""), "http://x/p": ("<p>", "text/html")}
+    opener = lambda url, headers: pages[url] if "text/turtle" in headers["Accept"] else None
+    assert fetch("http://x/a", opener) == [("<http://x/b>", TYPE, "<http://x/C>")] and fetch("http://x/a.rdf", opener) == []
+    with pytest.raises(UnknownMedia):
+        fetch("http://x/p", opener)
