@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import WordCache, forest, fresh, starts_of, stored, texts_of, whole_groups
+from quadloom.llm.common import WordCache, forest, fresh, ship, starts_of, stored, texts_of, whole_groups
 from quadloom.llm.components import components
 from quadloom.llm.lsm_dedup import spread_join
 
@@ -234,7 +234,7 @@ def jaccard_join(documents: DataFrame, threshold: float = 0.8, n: int = 5, toler
     3. The components of these edges hold every candidate pair. Each is compared whole, in tiles of tile_rows rows: pruning
        once more, then the exact index. Tiles return link counts and a forest, never the pairs.
     """
-    spark = documents.sparkSession
+    ship(documents.sparkSession)
     least = least_matches(threshold, tolerance)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     described = stored(docs.mapInArrow(_describe(n), "id long, set_key binary, sig binary, bands array<long>"), "jaccard-sigs")

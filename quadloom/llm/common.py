@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return store.makeQualified(where).toString().rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that it needn't be installed there."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    if getattr(context, "_quadloom_shipped", False) or not root.is_dir():
+        return
+    bundle = Path(tempfile.mkdtemp(prefix="quadloom-code-")) / "quadloom_code.zip"
+    with zipfile.ZipFile(bundle, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(str(bundle))
+    context._quadloom_shipped = True
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/quadloom/{name}-{uuid.uuid4().hex}"
     _forget_at_exit(spark, path)

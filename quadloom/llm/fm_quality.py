@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import WordCache, bucket_of, labelled_sample, texts_of
+from quadloom.llm.common import WordCache, bucket_of, labelled_sample, ship, texts_of
 
 WORD_BITS, STATS, BINS = 16, 12, 16
 STAT_BASE = 1 << WORD_BITS
@@ -105,6 +105,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, per_class: int = 3000,
     Classes are weighted back to their shares among all training labels. With labels of one class or none, the model
     says that class's share, or 0.5, for every text.
     """
+    ship(documents.sparkSession)
     sample, shares = labelled_sample(documents, labels, "quality", per_class)
     model = FactorisationMachine()
     if len(shares) < 2:
@@ -135,6 +136,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, per_class: int = 3000,
 
 def quality_score(documents: DataFrame, model: FactorisationMachine) -> Column:
     """Scores whole texts, null as empty; n_chars may be missing or null. No other column is read."""
+    ship(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v))
 
     @F.pandas_udf("double")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import forest, hash_share, starts_of, stored, whole_groups
+from quadloom.llm.common import forest, hash_share, ship, starts_of, stored, whole_groups
 from quadloom.llm.components import components
 from quadloom.llm.lsm_dedup import spread_join
 
@@ -131,6 +131,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     is many tasks; blocks return link counts and a spanning forest, never the pairs.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = stored(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(_prepared, "id long, key binary, vec binary, dim int"), "pq-rows")
     groups = stored(rows.select("id", "key").distinct().groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "pq-groups")
     reps = stored(rows.join(groups.select(F.col("rep").alias("id"), F.col("key").alias("k"), "copies"), "id").where("k = key").select("id", "copies", "vec", "dim").dropDuplicates(["id"]), "pq-reps")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import texts_of
+from quadloom.llm.common import ship, texts_of
 from quadloom.llm.sp_model import BYTE, NORMAL, SPACE, UNKNOWN, UNUSED, USER_DEFINED, ModelSpec, parse_model
 
 INF = float("inf")
@@ -306,6 +306,7 @@ def encode_documents(documents: DataFrame, model_path: str, id_col: str = "doc_i
     for text that is no valid Unicode). Repeated rows are encoded each. A null id stays null. Other columns are ignored.
     The model file is read by the driver and broadcast (its size doesn't grow with the data).
     """
+    ship(documents.sparkSession)
     with open(model_path, "rb") as f:
         model = documents.sparkSession.sparkContext.broadcast(f.read())
 
@@ -335,6 +336,7 @@ def encode_documents(documents: DataFrame, model_path: str, id_col: str = "doc_i
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and ids -> doc_id and text; null ids give a null text."""
+    ship(encoded.sparkSession)
     with open(model_path, "rb") as f:
         model = encoded.sparkSession.sparkContext.broadcast(f.read())
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import in_slices, texts_of
+from quadloom.llm.common import in_slices, ship, texts_of
 from quadloom.llm.sp_model import SPACE, parse_model
 
 
@@ -84,6 +84,7 @@ class ChunkCounter:
 
 def token_count(spark: SparkSession, text: Column, model_path: str, **options) -> Column:
     """Tokens of the text column; null counts as empty, which has none. `.json` models are encoded whole by tokenizers."""
+    ship(spark)
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
     json_model = model_path.endswith(".json")

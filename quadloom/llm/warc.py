@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import new_folder, stored
+from quadloom.llm.common import new_folder, ship, stored
 from quadloom.llm.lsm_dedup import spread_join
 
 #: Fixed values of the formats: magic of the skippable frame for dictionaries, profile of revisits.
@@ -138,6 +138,7 @@ def write_archives(decided: DataFrame, folder: str, archive_bytes: int = 16 << 2
         if held:
             yield flush()
 
+    ship(decided.sparkSession)
     # A revisit needs no payload: only its digest and length are written.
     rows = decided.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
     return stored(rows.mapInPandas(write, "archive string, records long"), "warc-manifest")
@@ -175,6 +176,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         out = pd.DataFrame(rows, columns=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
 
+    ship(spark)
     n = max(1, manifest.count())
     return manifest.repartition(min(n, 10_000), "archive").mapInPandas(load, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
