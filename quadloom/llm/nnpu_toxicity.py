@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import bucket_of, hash_share, held_out, labelled_sample, texts_of
+from quadloom.llm.common import bucket_of, hash_share, held_out, labelled_sample, ship, texts_of
 
 BITS = 20
 PREFIXES = (4, 5, 6)
@@ -56,14 +56,18 @@ def prior_of(shares: dict[int, float], default: float = 0.1) -> float:
     return min(0.9, max(0.005, shares.get(1, 0.0))) if 0 in shares else default
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_z: float = 6.0, most: int = 8192) -> np.ndarray:
-    """Features that positives have far more often than unlabelled texts, by the z-score of their document frequency."""
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], least_g2: float = 20.0, most: int = 8192) -> np.ndarray:
+    """Features that positives have over three times as often as unlabelled texts, by the likelihood ratio G2 of their document frequency."""
     p, u = len(positive), len(unlabelled)
-    dp, du = (np.bincount(np.concatenate(rows), minlength=1 << BITS) for rows in (positive, unlabelled))
-    p1, p0 = dp / p, np.maximum(du / u, 0.5 / u)
-    z = (p1 - p0) / np.sqrt(p0 * (1 - np.minimum(p0, 0.99)) / p)
-    found = np.flatnonzero((z > least_z) & (dp >= 3) & (p1 > 3 * p0))
-    return np.sort(found[np.argsort(-z[found], kind="stable")][:most])
+    dp, du = (np.bincount(np.concatenate(rows), minlength=1 << BITS).astype(np.float64) for rows in (positive, unlabelled))
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
+
+    ep, eu = (dp + du) * p / (p + u), (dp + du) * u / (p + u)
+    g2 = 2 * (part(dp, ep) + part(du, eu) + part(p - dp, p - ep) + part(u - du, u - eu))
+    found = np.flatnonzero((g2 > least_g2) & (dp >= 3) & (dp / p > 3 * np.maximum(du, 0.5) / u))
+    return np.sort(found[np.argsort(-g2[found], kind="stable")][:most])
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.5, decay: float = 1e-4) -> ToxicityModel:
@@ -106,6 +110,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, positives: int = 3000,
     Held-out ids are in neither. Unlabelled rows are drawn from all documents by a hash of the id. Without toxic examples
     or without unlabelled text, every text scores below 0.5.
     """
+    ship(documents.sparkSession)
     sample, shares = labelled_sample(documents, labels, "toxic", positives)
     total = documents.where(~held_out(F.col("doc_id"))).count()
     rate = min(1.0, unlabelled / max(1, total))
@@ -118,7 +123,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, positives: int = 3000,
 
     both = sample.where("y = 1").select("doc_id", "text", F.lit(1).alias("kind")).unionByName(others.select("doc_id", "text", F.lit(0).alias("kind")))
     got = both.mapInPandas(collect, "doc_id long, kind int, ids array<int>").toArrow().to_pandas().sort_values(["kind", "doc_id"], kind="stable")
-    rows = lambda kind: [np.asarray(x, np.int64) for x in got.ids[got.kind == kind]]
+    # Texts of the same features count once: copies would make any of their words telling.
+    rows = lambda kind: list({x.tobytes(): x for x in (np.asarray(x, np.int64) for x in got.ids[got.kind == kind])}.values())
     positive, others = rows(1), rows(0)
     if not positive or not others:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -2.0)
@@ -127,6 +133,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, positives: int = 3000,
 
 def toxicity_score(documents: DataFrame, model: ToxicityModel) -> Column:
     """Scores whole texts, null as empty. No other column is read."""
+    ship(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((model.ids, model.weights, model.bias))
 
     @F.pandas_udf("double")
