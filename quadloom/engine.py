@@ -18,7 +18,7 @@ from quadloom.plans.rules import Atom, ListTerm, Rule
 from quadloom.plans.storage import stored
 from quadloom.sources.rdf import lists_of, parse
 from quadloom.terms import COLUMNS, STATEMENT
-from quadloom.vocab import FIRST, INC, LIST, REST, TYPE
+from quadloom.vocab import INC, LIST, REST, TYPE
 
 PROFILES = ("owl2rl", "skos", "qudt")
 #: Beyond so many different predicates and classes the data is taken to hold any.
@@ -260,4 +260,4 @@ def statements(spark: SparkSession, source, msg_id: int = 0) -> DataFrame:
     return spark.createDataFrame(sorted(set(rows)), STATEMENT)
 
 
-__all__ = ["Engine", "NotLoaded", "Profile", "FIRST", "REST", "as_triples", "statements"]
+__all__ = ["Engine", "NotLoaded", "Profile", "as_triples", "statements"]

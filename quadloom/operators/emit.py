@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.plans.fixpoint import instantiate, solutions
-from quadloom.terms import is_blank, is_iri, is_literal, literal, skolem_iri, split_literal
-from quadloom.vocab import GENID, INC, INTERNAL, NORM, RDF, SAME_AS, SH, TYPE, XSD
+from quadloom.plans.fixpoint import solutions
+from quadloom.terms import is_blank, is_iri, is_literal, skolem_iri
+from quadloom.vocab import GENID, INC, INTERNAL, NORM, SAME_AS, SH, TYPE
 
 REPORT = "msg_id long, id string, rule string, terms array<string>"
 
@@ -128,4 +128,4 @@ def valid_statements(df: DataFrame) -> DataFrame:
     return df.where(s.isNotNull() & o.isNotNull() & (is_iri(s) | is_blank(s)) & is_iri(p))
 
 
-__all__ = ["RDF", "XSD", "emitted", "explained", "grouped_reports", "instantiate", "literal", "report_statements", "reports", "split_literal", "unique", "valid_statements"]
+__all__ = ["emitted", "explained", "grouped_reports", "report_statements", "reports", "unique", "valid_statements"]

@@ -13,7 +13,7 @@ from quadloom.functions.datatypes import AXIOMS, BOUNDS, ancestors, short, subty
 from quadloom.plans.local import Index, Triple
 from quadloom.plans.rules import Atom, Rule, Var
 from quadloom.sources.rdf import parse
-from quadloom.vocab import NIL, OWL, PREFIXES, RDF, RDFS, TYPE, XSD
+from quadloom.vocab import NIL, OWL, PREFIXES, RDFS, TYPE, XSD
 
 #: name: body => head. A body of several premises is a join; `1 log:notIncludes` isn't needed here.
 ENTAILMENTS = {
@@ -224,4 +224,4 @@ def schema_closure(triples: Iterable[Triple], more_rules: Iterable[Rule] = (), w
     return index
 
 
-__all__ = ["CONTRADICTIONS", "ENTAILMENTS", "RDF", "axioms", "contradictions", "list_facts", "list_rules", "rules", "schema_closure"]
+__all__ = ["CONTRADICTIONS", "ENTAILMENTS", "axioms", "contradictions", "list_facts", "list_rules", "rules", "schema_closure"]

@@ -9,9 +9,9 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
-from quadloom.plans.rules import Atom, Document, Formula, ListTerm, Rule, Var, rename, variables
+from quadloom.plans.rules import Atom, Document, Formula, ListTerm, Rule, Var, variables
 from quadloom.terms import literal
-from quadloom.vocab import FIRST, INTERNAL, LOG, NIL, OWL, RDF, REST, TYPE, XSD
+from quadloom.vocab import FIRST, INTERNAL, LOG, NIL, OWL, REST, TYPE, XSD
 
 _TOKEN = re.compile(
     r"""(?P<skip>\s+|\#[^\n]*)
@@ -365,4 +365,4 @@ def lists_of(triples) -> dict[str, list[str]]:
     return out
 
 
-__all__ = ["Document", "RDF", "SyntaxFault", "lists_of", "parse", "parse_triples", "rename"]
+__all__ = ["Document", "SyntaxFault", "lists_of", "parse", "parse_triples"]
