@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import hash_share, held_out, texts_of
+from quadloom.llm.common import hash_share, held_out, ship, texts_of
 
 WORDS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -24,56 +24,77 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+class _Rows(dict):
+    """word -> row of `scores`, made on demand; emptied when `most` rows are used, so memory stays bounded."""
+
+    def __init__(self, model: LanguageModel, most: int = 300_000):
+        super().__init__()
+        self.model, self.scores = model, np.zeros((most, max(1, len(model.langs))), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= len(self.scores):
+            raise OverflowError
+        row = len(self)
+        self.scores[row] = self.model.word(word)
+        self[word] = row
+        return row
+
+
 class LanguageModel:
-    """tables[0]: words; tables[n]: n-grams; each maps to the log frequency in every language."""
+    """tables[0]: words; tables[n]: n-grams; each maps to a row of its matrix of log frequencies, a column per language."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]], unseen: np.ndarray):
-        self.langs, self.tables, self.unseen, self.cache = langs, tables, unseen, {}
+    def __init__(self, langs: list[str], tables: list[dict[str, int]], matrices: list[np.ndarray], unseen: np.ndarray):
+        self.langs, self.tables, self.matrices, self.unseen, self.rows = langs, tables, matrices, unseen, None
 
     def word(self, word: str) -> np.ndarray:
-        found = self.cache.get(word)
-        if found is None:
-            found = self.tables[0].get(word)
-            if found is None:
-                found = self.back_off(word)
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
+        found = self.tables[0].get(word)
+        return self.matrices[0][found] if found is not None else self.back_off(word)
 
     def back_off(self, word: str) -> np.ndarray:
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             table = self.tables[n]
-            known = [table[g] for g in grams(word, n) if g in table]
+            known = [k for k in map(table.get, grams(word, n)) if k is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.matrices[n][known].mean(0)
         return self.unseen
 
     def predict(self, text: str) -> tuple[str, float]:
         """Texts without a letter, and any text where no language was learned, are und with score 0."""
-        words = Counter(WORDS.findall(text.lower()))
+        words = WORDS.findall(text.lower())
         if not words or not self.langs:
             return "und", 0.0
         total = np.zeros(len(self.langs))
-        for w, n in words.items():
-            total += n * self.word(w)
+        for k in range(0, len(words), 100_000):
+            total += self._sum(words[k : k + 100_000])
         p = np.exp(total - total.max())
         best = int(np.argmax(p))
         return self.langs[best], float(p[best] / p.sum())
 
+    def _sum(self, words: list[str]) -> np.ndarray:
+        for _ in range(2):
+            if self.rows is None:
+                self.rows = _Rows(self)
+            try:
+                at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+                return self.rows.scores[at].sum(0, dtype=np.float64)
+            except OverflowError:
+                self.rows = None
+        raise OverflowError("more words in a slice than rows")
+
 
 def fit_languages(documents: DataFrame, per_lang: int = 1000, smoothing: float = 0.5, min_word: int = 2, max_langs: int = 1000) -> LanguageModel:
     """Counts over about per_lang documents of each language at most, drawn by a hash of the id; held-out ones are not used.
 
     Words seen min_word times or more are kept as words. Languages are few: more than max_langs is an error.
     """
+    ship(documents.sparkSession)
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_langs + 1).collect()}
     if len(totals) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     langs = sorted(totals)
     if not langs:
-        return LanguageModel([], [{} for _ in range(LONGEST + 1)], np.zeros(0))
+        return LanguageModel([], [{} for _ in range(LONGEST + 1)], [np.zeros((0, 0), np.float32)] * (LONGEST + 1), np.zeros(0))
     rate = F.lit(0.0)
     for lang in langs:
         rate = F.when(F.col("lang") == lang, min(1.0, per_lang / totals[lang])).otherwise(rate)
@@ -100,24 +121,24 @@ def fit_languages(documents: DataFrame, per_lang: int = 1000, smoothing: float =
     counts[0] = {w: c for w, c in counts[0].items() if c.sum() >= min_word}
     for size in range(2, LONGEST + 1):
         counts[size] = {g: c for g, c in counts[size].items() if c.sum() >= 2}
-    tables = []
+    tables, matrices = [], []
     for table in counts:
-        sums = np.sum(list(table.values()), axis=0) if table else np.zeros(len(langs))
-        low = np.log(sums + smoothing * max(1, len(table)))
-        tables.append({key: (np.log(row + smoothing) - low).astype(np.float32) for key, row in table.items()})
-    return LanguageModel(langs, tables, np.full(len(langs), -12.0, np.float32))
+        rows = np.array(list(table.values()), np.float32).reshape(len(table), len(langs))
+        low = np.log(rows.sum(0) + smoothing * max(1, len(table)))
+        tables.append({key: i for i, key in enumerate(table)})
+        matrices.append((np.log(rows + smoothing) - low).astype(np.float32))
+    return LanguageModel(langs, tables, matrices, np.full(len(langs), -12.0, np.float32))
 
 
 def language(documents: DataFrame, model: LanguageModel) -> Column:
     """struct(lang_pred, score) of the whole text; null texts are und with score 0. No other column is read."""
-    held = documents.sparkSession.sparkContext.broadcast(
-        (model.langs, [(list(t), np.array(list(t.values()), np.float32).reshape(len(t), len(model.langs))) for t in model.tables], model.unseen)
-    )
+    ship(documents.sparkSession)
+    held = documents.sparkSession.sparkContext.broadcast((model.langs, [list(t) for t in model.tables], model.matrices, model.unseen))
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        langs, tables, unseen = held.value
-        own = LanguageModel(langs, [dict(zip(keys, rows, strict=True)) for keys, rows in tables], unseen)
+        langs, tables, matrices, unseen = held.value
+        own = LanguageModel(langs, [{key: i for i, key in enumerate(t)} for t in tables], matrices, unseen)
         for text in columns:
             yield pd.DataFrame([own.predict(t) for t in texts_of(text)], columns=["lang_pred", "score"])
 
