@@ -39,14 +39,20 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class ProductIndex:
     """Coarse centres of unit vectors and, for residuals, a codebook of each of `parts` subspaces."""
 
-    def __init__(self, sample: np.ndarray, lists: int, parts: int = 16, codes: int = 256, seed: int = 5):
+    def __init__(self, sample: np.ndarray, lists: int, parts: int = 16, codes: int = 256, seed: int = 5, shelves: int = 1):
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         self.parts = next(p for p in range(min(parts, self.dim), 0, -1) if self.dim % p == 0)
         self.width = self.dim // self.parts
         self.centres = k_means(sample, lists, 10, rng)
-        residual = sample - self.centres[nearest(sample, self.centres)]
+        cell = nearest(sample, self.centres)
+        residual = sample - self.centres[cell]
         self.books = [k_means(residual[:, self._part(p)], codes, 6, rng) for p in range(self.parts)]
+        # Neighbouring lists share a shelf; shelves hold about as many rows of the sample each.
+        by = np.argsort(nearest(self.centres, k_means(self.centres, shelves, 6, rng)), kind="stable")
+        filled = np.cumsum(np.bincount(cell, minlength=len(by))[by])
+        self.shelf = np.zeros(len(by), np.int32)
+        self.shelf[by] = np.minimum(np.maximum(filled - 1, 0) * shelves // max(1, len(sample)), shelves - 1)
 
     def _part(self, p: int) -> slice:
         return slice(p * self.width, (p + 1) * self.width)
@@ -59,26 +65,20 @@ class ProductIndex:
         rebuilt = np.concatenate([b[codes[:, p]] for p, b in enumerate(self.books)], 1)
         return cell, codes, np.sqrt(((residual - rebuilt) ** 2).sum(1))
 
-    def probes(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
-        """For each vector the cells whose bisecting plane with its own cell's centre is within `radius` of it.
+    def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
+        """Rows by cells: whether the bisecting plane of the cell's and the row's own cell's centre is within `radius` of the row.
 
         A vector of cell c is at least as near to c as to the cell of x, so it is beyond the bisecting plane of the two
-        centres, and x is (d(x, c)^2 - d(x, own)^2) / (2 |c - own|) away from that plane.
+        centres, and x is (d(x, c)^2 - d(x, own)^2) / (2 |c - own|) away from that plane: other cells hold none within the radius.
         """
         d = distances(x, self.centres)
         own = d.argmin(1)
-        apart = np.sqrt(distances(self.centres, self.centres))
-        gap = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * apart[own], 1e-12)
-        gap[np.arange(len(x)), own] = 0
-        return [np.flatnonzero(g <= radius + 1e-6).astype(np.int32) for g in gap]
+        apart = np.sqrt(distances(self.centres[own], self.centres))
+        return d - d[np.arange(len(x)), own][:, None] <= 2 * apart * (radius + 1e-6) + 1e-9
 
-    def tables(self, x: np.ndarray, cell: int) -> np.ndarray:
-        """Squared distances of the residuals of x in the cell to all codewords: (rows, parts, codes)."""
-        residual = x - self.centres[cell]
-        out = np.full((len(x), self.parts, max(map(len, self.books))), np.inf, np.float32)
-        for p, b in enumerate(self.books):
-            out[:, p, : len(b)] = distances(residual[:, self._part(p)], b)
-        return out
+    def rebuilt(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What codes stand for. Its distance from a vector is the sum of the vector's table entries of the codes."""
+        return self.centres[cell] + np.concatenate([b[codes[:, p]] for p, b in enumerate(self.books)], 1)
 
 
 def unit(values: pa.Array) -> list[np.ndarray | None]:
@@ -114,7 +114,7 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", lists: int | None = None, sample_rows: int = 20_000, block: int = 2048, deviations: float | None = 3.0) -> DataFrame:
+def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", lists: int | None = None, sample_rows: int = 20_000, block: int = 8192) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors are linked if their cosine in double precision is the threshold or more; n_links counts the other ids linked
@@ -123,11 +123,11 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     Rows that repeat an id count once. A null id isn't compared: component_id null, kept. An empty table gives no rows.
 
     The index (about 3 sqrt(rows) lists, 4096 at most; codebooks) is fitted on a sample of about sample_rows rows; every row
-    is encoded. Probes are sufficient: a partner at the threshold is sqrt(2 - 2 threshold) away, in a direction whose part
-    along any one plane's normal has a standard deviation of that over sqrt(length); lists whose plane is more than
-    `deviations` of these away are skipped (None: only those beyond the whole distance, where no link can be; measured
-    recall is 1.0 with 3.0). A code is skipped only if its table distance exceeds the radius by more than its own, stored,
-    error. What is left is reranked by the exact cosine. Lists and their queries are cut into blocks, so a list or a dense spot of any size
+    is encoded. Probes are sufficient: a list is skipped only if geometry says that it can't hold a link, and a code only if
+    its table distance exceeds the radius by more than its own, stored, error. What is left is reranked by the exact cosine,
+    so no link is lost. Where vectors have no structure that lists can follow, most lists are probed and the work is
+    quadratic. Neighbouring lists share a shelf, to which a query is sent once however many of its lists are probed. Shelves
+    and their queries are cut into blocks, so a list or a dense spot of any size
     is many tasks; blocks return link counts and a spanning forest, never the pairs.
     """
     spark = vectors.sparkSession
@@ -140,7 +140,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     for dim, n in sorted(dims.items()):
         if n < 2:
             continue
-        links = _links(reps.where(F.col("dim") == dim), dim, n, threshold, lists or max(1, min(4096, round(3 * math.sqrt(n)))), sample_rows, block, deviations)
+        links = _links(reps.where(F.col("dim") == dim), dim, n, threshold, lists or max(1, min(4096, round(3 * math.sqrt(n)))), sample_rows, block)
         found = links if found is None else found.unionByName(links)
     links = stored(found if found is not None else spark.createDataFrame([], "a long, b long, links long"), "pq-links")
     classes = components(links.select("a", "b")).select(F.col("node").alias("rep"), "component_id")
@@ -155,16 +155,15 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(reps: DataFrame, dim: int, n: int, threshold: float, lists: int, sample_rows: int, block: int, deviations: float | None) -> DataFrame:
+def _links(reps: DataFrame, dim: int, n: int, threshold: float, lists: int, sample_rows: int, block: int) -> DataFrame:
     """Links among vectors of one length: rows (a, b: an edge of a forest or a itself, links)."""
     spark = reps.sparkSession
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
-    reach = radius if deviations is None else min(radius, deviations * radius / math.sqrt(dim))
     rows = min(sample_rows, max(256, 4_000_000 // dim))
     sample = reps.where(hash_share(F.col("id"), F.lit("pq")) < min(1.0, rows / n)).select("id", "vec").toArrow().sort_by("id")
     if not sample.num_rows:
         sample = reps.select("id", "vec").orderBy("id").limit(256).toArrow()
-    held = spark.sparkContext.broadcast(ProductIndex(_matrix(sample.column("vec"), dim), lists))
+    held = spark.sparkContext.broadcast(ProductIndex(_matrix(sample.column("vec"), dim), lists, shelves=min(lists, math.ceil(n / block))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
@@ -173,21 +172,21 @@ def _links(reps: DataFrame, dim: int, n: int, threshold: float, lists: int, samp
                 part = batch.slice(i, 1024)
                 x = _matrix(part.column("vec"), dim)
                 cell, codes, error = index.encode(x)
-                probes = index.probes(x, reach)
+                probes = [np.unique(index.shelf[p]) for p in index.probes(x, radius)]
                 ends = np.cumsum([0, *map(len, probes)]).astype(np.int32)
                 lists_ = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(probes)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), part.column("vec"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), lists_], ["id", "copies", "vec", "cell", "code", "error", "probes"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), part.column("vec"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(index.shelf[cell]), lists_], ["id", "copies", "vec", "cell", "code", "error", "shelf", "probes"])
 
-    coded = stored(reps.select("id", "copies", "vec").mapInArrow(encode, "id long, copies long, vec binary, cell int, code binary, error double, probes array<int>"), "pq-codes")
-    asked = coded.select("id", F.explode("probes").alias("cell"))
-    sizes = coded.groupBy("cell").agg(F.count(F.lit(1)).alias("n_list")).join(asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n_asked")), "cell")
-    sizes = F.broadcast(stored(sizes.select("cell", F.ceil(F.col("n_list") / block).cast("int").alias("l"), F.ceil(F.col("n_asked") / block).cast("int").alias("q")), "pq-sizes"))  # a row for each list, 4096 at most
+    coded = stored(reps.select("id", "copies", "vec").mapInArrow(encode, "id long, copies long, vec binary, cell int, code binary, error double, shelf int, probes array<int>"), "pq-codes")
+    asked = coded.select("id", F.explode("probes").alias("shelf"))
+    sizes = coded.groupBy("shelf").agg(F.count(F.lit(1)).alias("n_list")).join(asked.groupBy("shelf").agg(F.count(F.lit(1)).alias("n_asked")), "shelf")
+    sizes = F.broadcast(stored(sizes.select("shelf", F.ceil(F.col("n_list") / block).cast("int").alias("l"), F.ceil(F.col("n_asked") / block).cast("int").alias("q")), "pq-sizes"))  # a row for each shelf, 4096 at most
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    listed = coded.join(sizes, "cell").select("cell", own("l").alias("lb"), every("q").alias("qb"), F.lit(0).alias("side"), "id", "copies", "vec", "code", "error")
-    asking = coded.select("id", "copies", "vec", F.explode("probes").alias("cell")).join(sizes, "cell")
-    asking = asking.select("cell", every("l").alias("lb"), own("q").alias("qb"), F.lit(1).alias("side"), "id", "copies", "vec", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"))
-    keys = ["cell", "lb", "qb"]
+    listed = coded.join(sizes, "shelf").select("shelf", own("l").alias("lb"), every("q").alias("qb"), F.lit(0).alias("side"), "id", "copies", "vec", "cell", "code", "error")
+    asking = coded.select("id", "copies", "vec", F.explode("probes").alias("shelf")).join(sizes, "shelf")
+    asking = asking.select("shelf", every("l").alias("lb"), own("q").alias("qb"), F.lit(1).alias("side"), "id", "copies", "vec", F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"))
+    keys = ["shelf", "lb", "qb"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
@@ -209,20 +208,33 @@ def _search_block(index: ProductIndex, part: pa.Table, dim: int, threshold: floa
         return None
     ids, copies = part.column("id").to_numpy(), part.column("copies").to_numpy()
     x = _matrix(part.column("vec"), dim)
+    cells = part.column("cell").slice(0, n).to_numpy()
     codes = np.frombuffer(b"".join(part.column("code").slice(0, n).to_pylist()), np.uint8).reshape(n, -1)
     reach = (radius + part.column("error").slice(0, n).to_numpy() + 1e-3) ** 2
-    cell, row = part.column("cell")[0].as_py(), np.arange(index.parts)[:, None]
-    links, a, b = np.zeros(len(ids), np.int64), [], []
-    for k in range(n, len(ids), 256):
-        tables = index.tables(x[k : k + 256], cell)
-        for q, table in enumerate(tables, k):
-            near = np.flatnonzero(table[row, codes.T].sum(0) <= reach)
-            near = near[ids[near] != ids[q]]
-            near = near[x[near] @ x[q] >= threshold]
-            if len(near):
-                links[q] = copies[near].sum()
-                a.append(np.full(len(near), q))
-                b.append(near)
+    by = np.argsort(cells, kind="stable")
+    listed = [(cells[rows[0]], rows, index.rebuilt(cells[rows], codes[rows])) for rows in np.split(by, np.flatnonzero(np.diff(cells[by])) + 1)]
+    links, a, b, held = np.zeros(len(ids), np.int64), [], [], 0
+    for k in range(n, len(ids), 512):
+        probed = index.probes(x[k : k + 512], radius)
+        for cell, rows, rebuilt in listed:
+            asking = np.flatnonzero(probed[:, cell]) + k
+            if not len(asking):
+                continue
+            q, near = np.nonzero(distances(x[asking], rebuilt) <= reach[rows])
+            q, near = asking[q], rows[near]
+            other = ids[near] != ids[q]
+            q, near = q[other], near[other]
+            if not len(q):
+                continue
+            linked = np.concatenate([np.einsum("ij,ij->i", x[q[i : i + 32768]], x[near[i : i + 32768]]) for i in range(0, len(q), 32768)]) >= threshold
+            q, near = q[linked], near[linked]
+            np.add.at(links, q, copies[near])
+            a.append(q)
+            b.append(near)
+            held += len(q)
+            if held > 4_000_000:  # what is linked so far as a forest: memory stays bounded where all are near
+                b = [forest(len(ids), np.concatenate(a), np.concatenate(b))]
+                a, held = [np.arange(len(ids))], len(ids)
     if not a:
         return None
     # The same id may be listed and asking: both stand for one node.

@@ -154,6 +154,20 @@ def test_near_dedup_by_hand(spark):
     assert pq_dedup.near_dedup(df.where("false")).count() == 0
 
 
+def test_near_dedup_of_a_dense_group_of_low_rank(spark):
+    """Lists split the group along its own two axes, so partners differ in just the directions that lead to other lists."""
+    rng = np.random.default_rng(8)
+    base, axes = rng.normal(size=64), np.linalg.qr(rng.normal(size=(64, 2)))[0]
+    x = np.vstack([base / np.linalg.norm(base) + rng.uniform(-0.4, 0.4, (900, 2)) @ axes.T, rng.normal(size=(300, 64))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for options in ({}, {"block": 64}):
+        got = {r.vec_id: r for r in pq_dedup.near_dedup(df, **options).collect()}
+        assert [got[i].n_links for i in range(len(x))] == want.tolist()
+        assert {got[i].component_id for i in range(900)} == {0}
+
+
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     sf = "/root/testdata/sf0.001"
