@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.operators import emit, literals, owl, quantities, shape_plan, skos
+from quadloom.operators import emit, equality, literals, owl, quantities, shape_plan, skos
 from quadloom.plans import sql
 from quadloom.plans.compile import RuleFault, Variant, check, inline_helpers, specialise
 from quadloom.plans.fixpoint import data_lists, fixpoint, small
@@ -168,14 +168,14 @@ class Engine:
         """(input, derived, available names) — derived holds internal statements too."""
         seen = facts if known_before is None else facts.unionByName(known_before)
         available = self._available(seen)
-        variants = self.compile(available)
+        variants, same = equality.taken_over(self.compile(available))
         lists = self.lists(seen, available)
         divisions = self.divisions
 
         def extra(delta: DataFrame, known: DataFrame) -> list[DataFrame]:
-            return [divided(known, c, members) for c, members in divisions]
+            return [divided(known, c, members) for c, members in divisions] + (same(delta, known) if same else [])
 
-        derived = fixpoint(facts, variants, lists, extra=extra if divisions else None, known_before=known_before, **limits)
+        derived = fixpoint(facts, variants, lists, extra=extra if divisions or same else None, known_before=known_before, **limits)
         return facts, derived, available
 
     def infer(self, facts: DataFrame, mode: str | None = None, known_before: DataFrame | None = None, **limits) -> DataFrame:

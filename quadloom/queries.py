@@ -140,8 +140,8 @@ def path_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT {key('part', 'a.p_partkey')} AS s, {key('part', 'b.p_partkey')} AS o FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey WHERE a.p_size = 7 AND b.p_size = 7""")
 def same_as_inverse_functional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one size that share a name are the same if the name identifies them."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size = 7")
+    """Parts that share a name are the same if the name identifies them."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     facts = parts.select(F.lit(0).cast("long").alias("msg_id"), R.iri("part", F.col("p_partkey")).alias("s"), F.lit(R.predicate("p_name")).alias("p"), make_literal(F.col("p_name"), XSD.string).alias("o"))
     out = derive(spark, facts, "t:p_name a owl:InverseFunctionalProperty.")
     return out.where((F.col("p") == "<http://www.w3.org/2002/07/owl#sameAs>")).select("s", "o")

@@ -8,6 +8,7 @@ import pytest
 from quadloom import queries as Q
 
 SF = "/root/testdata/sf0.001"
+SAME = "<http://www.w3.org/2002/07/owl#sameAs>"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -25,3 +26,21 @@ def test_same_as_functional_over_all_nations(spark):
         seats[r.n_regionkey].append(r.n_nationkey)
     got = Q.same_as_functional(spark, SF).collect()
     assert sorted((r.s, r.o) for r in got) == pairs(seats, "nation")
+
+
+def test_same_as_inverse_functional_over_all_parts(spark):
+    names = defaultdict(list)
+    for r in table(spark, "part"):
+        names[r.p_name].append(r.p_partkey)
+    got = Q.same_as_inverse_functional(spark, SF).collect()
+    assert sorted((r.s, r.o) for r in got) == pairs(names, "part")
+
+
+def test_large_groups_of_equal_terms(spark):
+    """Joins would make 400 ** 3 rows of one group; the classes of two groups meet through an asserted pair and a chain."""
+    facts = [(0, f"<urn:x:{i}>", "<urn:x:code>", f'"{i // 400}"') for i in range(800)] + [(0, "<urn:x:7>", SAME, "<urn:x:c0>"), (0, "<urn:x:7>", "<urn:x:q>", '"z"')]
+    facts += [(0, f"<urn:x:c{i}>", SAME, f"<urn:x:c{i + 1}>") for i in range(20)] + [(0, "<urn:x:c20>", SAME, "<urn:x:799>"), (1, "<urn:x:c20>", SAME, "<urn:x:799>")]
+    engine = Q.Engine(spark).load(Q.HEAD + "x:code a owl:InverseFunctionalProperty.", ["owl2rl"])
+    out = engine.infer(spark.createDataFrame(facts, "msg_id long, s string, p string, o string"))
+    assert {r.p: r["count"] for r in out.where("msg_id = 0").groupBy("p").count().collect()} == {SAME: 821 * 820 - 22, "<urn:x:q>": 820, "<urn:x:code>": 821 * 2 - 800}
+    assert [(r.s, r.o) for r in out.where("msg_id = 1").collect()] == [("<urn:x:799>", "<urn:x:c20>")]
