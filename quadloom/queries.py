@@ -115,7 +115,7 @@ def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'").select("event_id", "user_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
     after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
     rows = events.withColumn("b", after).where("b is not null")
     return rows.select(F.lit(0).cast("long").alias("msg_id"), R.iri("events", F.col("event_id")).alias("s"), F.lit(iri_of("before")).alias("p"), R.iri("events", F.col("b")).alias("o"))

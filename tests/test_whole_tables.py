@@ -44,3 +44,19 @@ def test_large_groups_of_equal_terms(spark):
     out = engine.infer(spark.createDataFrame(facts, "msg_id long, s string, p string, o string"))
     assert {r.p: r["count"] for r in out.where("msg_id = 0").groupBy("p").count().collect()} == {SAME: 821 * 820 - 22, "<urn:x:q>": 820, "<urn:x:code>": 821 * 2 - 800}
     assert [(r.s, r.o) for r in out.where("msg_id = 1").collect()] == [("<urn:x:799>", "<urn:x:c20>")]
+
+
+def chains(spark):
+    users = defaultdict(list)
+    for r in table(spark, "events"):
+        users[r.user_id].append(r.event_id)
+    return [[f"<urn:t:events/{e}>" for e in sorted(c)] for c in users.values()]
+
+
+def test_successors_over_all_events(spark):
+    steps = sorted((a, b) for c in chains(spark) for a, b in zip(c, c[1:], strict=False))
+    later = sorted((a, b) for c in chains(spark) for i, a in enumerate(c) for b in c[i + 2 :])
+    ends = sorted((a, a) for c in chains(spark) if len(c) > 1 for a in c)
+    assert sorted((r.a, r.b) for r in Q.path_alternative_inverse(spark, SF).collect()) == steps
+    assert sorted((r.s, r.o) for r in Q.transitive_closure(spark, SF).collect()) == later
+    assert sorted((r.a, r.b) for r in Q.path_star(spark, SF).collect()) == sorted(steps + later + ends)
