@@ -60,3 +60,13 @@ def test_successors_over_all_events(spark):
     assert sorted((r.a, r.b) for r in Q.path_alternative_inverse(spark, SF).collect()) == steps
     assert sorted((r.s, r.o) for r in Q.transitive_closure(spark, SF).collect()) == later
     assert sorted((r.a, r.b) for r in Q.path_star(spark, SF).collect()) == sorted(steps + later + ends)
+
+
+def test_units_of_all_events(spark):
+    events = {f"<urn:t:events/{r.event_id}>": r.event_id for r in table(spark, "events")}
+    speed = {s: round(((n % 500) + 0.5) * (0.2777777777777778, 0.44704, 1)[n % 3], 6) for s, n in events.items()}
+    assert {r.s: r.value for r in Q.unit_linear(spark, SF).collect()} == pytest.approx(speed, abs=2e-6)
+    for query in (Q.unit_affine, Q.unit_log):
+        assert sorted(r.s for r in query(spark, SF).collect()) == sorted(events)
+    assert sorted(r.s for r in Q.unit_reverse_log(spark, SF).collect()) == sorted(s for s, n in events.items() if n % 1000)
+    assert Q.measured(spark, SF, Q.F.lit("1 kg"), Q.CDT.length).count() == len(events) and Q.unit_incompatible(spark, SF).count() == 0
