@@ -15,6 +15,9 @@ from quadloom.llm.common import forest, hash_share, ship, starts_of, stored, who
 from quadloom.llm.components import components
 from quadloom.llm.lsm_dedup import spread_join
 
+#: Vectors are compared length by length, with an index for each; more lengths are an error, never a partial result.
+MOST_LENGTHS = 1000
+
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -135,11 +138,12 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     rows = stored(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(_prepared, "id long, key binary, vec binary, dim int"), "pq-rows")
     groups = stored(rows.select("id", "key").distinct().groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "pq-groups")
     reps = stored(rows.join(groups.select(F.col("rep").alias("id"), F.col("key").alias("k"), "copies"), "id").where("k = key").select("id", "copies", "vec", "dim").dropDuplicates(["id"]), "pq-reps")
-    dims = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().limit(1000).collect()}
+    lengths = reps.groupBy("dim").count().where("count > 1").limit(MOST_LENGTHS + 1).collect()  # a length of one vector has no links
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} different lengths")
+    dims = {r["dim"]: r["count"] for r in lengths}
     found = None
     for dim, n in sorted(dims.items()):
-        if n < 2:
-            continue
         links = _links(reps.where(F.col("dim") == dim), dim, n, threshold, lists or max(1, min(4096, round(3 * math.sqrt(n)))), sample_rows, block)
         found = links if found is None else found.unionByName(links)
     links = stored(found if found is not None else spark.createDataFrame([], "a long, b long, links long"), "pq-links")

@@ -168,6 +168,17 @@ def test_near_dedup_of_a_dense_group_of_low_rank(spark):
         assert {got[i].component_id for i in range(900)} == {0}
 
 
+def test_near_dedup_of_too_many_lengths(spark):
+    """Lengths of a single vector don't count; more than the bound of the others is an error."""
+    wide = [(n, [1.0] * n) for n in range(1, 1104)]
+    df = spark.createDataFrame(wide + [(5000, [2.0] * 1050 + [3.0])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in pq_dedup.near_dedup(df).collect()}
+    assert sorted(i for i, r in got.items() if r.n_links) == [1051, 5000] and got[5000].component_id == 1051
+    twice = spark.createDataFrame(wide + [(6000 + n, [1.0] * (n - 1) + [2.0]) for n in range(2, 1104)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="1000 different lengths"):
+        pq_dedup.near_dedup(twice)
+
+
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     sf = "/root/testdata/sf0.001"
