@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.common import WordCache, forest, fresh, ship, starts_of, stored, texts_of, whole_groups
+from quadloom.llm.common import WordCache, forest, fresh, ship, spread_lookup, starts_of, stored, texts_of, whole_groups
 from quadloom.llm.components import components
-from quadloom.llm.lsm_dedup import spread_join
+from quadloom.llm.lsm_dedup import bit_filter, may_contain, spread_join
 
 ROWS, BANDS = 5, 32
 HASHES = ROWS * BANDS
@@ -93,55 +93,119 @@ def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int]) -
     return on
 
 
-def _pairs(starts: np.ndarray, n: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows within each group of consecutive rows, about `most` at a time."""
-    ends = np.append(starts[1:], n)
-    end_of = np.repeat(ends, ends - starts)
-    rows = np.arange(n)
-    d, held = 1, []
-    total = 0
+def _linked(starts: np.ndarray, n: int, test, most: int = 1 << 17) -> np.ndarray:
+    """Labels of rows 0..n-1 such that all pairs within a group of consecutive rows that pass the test have one label.
+
+    Pairs are tested by growing distance, about `most` at a time, and not at all once their rows have one label: a group
+    of near copies costs about as many tests as it has rows.
+    """
+    label = np.arange(n)
+    end_of = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    rows, d, held, total = np.arange(n), 1, [], 0
+
+    def settle() -> None:
+        nonlocal label, rows, held, total
+        a, b = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+        on = test(a, b)
+        if len(on):
+            label = forest(n, np.concatenate([np.arange(n), a[on]]), np.concatenate([label, b[on]]))
+            open_groups = np.minimum.reduceat(label, starts) < np.maximum.reduceat(label, starts)
+            rows = rows[open_groups[group[rows]]]
+        held, total = [], 0
+
     while True:
-        a = rows[rows + d < end_of]
-        if not len(a):
+        rows = rows[rows + d < end_of[rows]]
+        if not len(rows):
             break
-        held.append((a, a + d))
-        total += len(a)
-        if total >= most:
-            yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-            held, total = [], 0
+        a = rows[label[rows] != label[rows + d]]
+        if len(a):
+            held.append((a, a + d))
+            total += len(a)
+        if held and (total >= most or d & (d - 1) == 0):
+            settle()
         d += 1
     if held:
-        yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+        settle()
+    return label
+
+
+def _signatures(table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
+def _share_edges(least: list[int]):
+    """Rows (bucket, share, id, sig) sorted by bucket and share -> edges of a spanning forest of each share's surviving pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["bucket", "share"]
+        for table in whole_groups(batches, keys):
+            ids, sig = table.column("id").to_numpy(), _signatures(table)
+            label = _linked(starts_of(table, keys), len(ids), lambda a, b, sig=sig: surviving(sig, a, b, least))
+            moved = np.flatnonzero(label != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
+
+    return run
+
+
+def _cross_edges(least: list[int]):
+    """Rows (bucket, share_i, share_j, share, id, cluster, sig): surviving pairs across two shares of a bucket that aren't in one cluster yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["bucket", "share_i", "share_j"]
+        for table in whole_groups(batches, keys):
+            starts = starts_of(table, keys)
+            for begin, end in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                part = table.slice(begin, end - begin)
+                ids, share, sig = part.column("id").to_numpy(), part.column("share").to_numpy(), _signatures(part)
+                label = np.unique(part.column("cluster").to_numpy(), return_inverse=True)[1]
+                found_a, found_b = [], []
+                left, right = np.flatnonzero(share == share[0]), np.flatnonzero(share != share[0])
+                for i in left:
+                    others = right[label[right] != label[i]]
+                    others = others[surviving(sig, np.full(len(others), i), others, least)]
+                    _, first = np.unique(label[others], return_index=True)
+                    for j in others[first]:
+                        found_a.append(ids[i])
+                        found_b.append(ids[j])
+                        label[label == label[j]] = label[i]
+                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+    return run
 
 
-def _bucket_edges(least: list[int]):
-    """Rows (bucket, id, sig) sorted by bucket -> edges of a spanning forest of each bucket's surviving pairs."""
+def _pack(n: int):
+    """cluster, id, text -> cluster, id, shingles: the text's set, eight bytes a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["bucket"]):
-            ids = table.column("id").to_numpy()
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-            found_a, found_b = [], []
-            for a, b in _pairs(starts_of(table, ["bucket"]), len(ids)):
-                on = surviving(sig, a, b, least)
-                found_a.append(a[on])
-                found_b.append(b[on])
-            if found_a:
-                label = forest(len(ids), np.concatenate(found_a), np.concatenate(found_b))
-                moved = np.flatnonzero(label != np.arange(len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
+        cache = word_cache()
+        for batch in batches:
+            sets = [shingles(t, cache, n).tobytes() for t in texts_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("id"), pa.array(sets, pa.binary())], ["cluster", "id", "shingles"])
 
     return run
 
 
-def _tile_links(least: list[int], threshold: float, n: int):
-    """Rows (cluster, tile_i, tile_j, tile, id, copies, text) sorted by the first three -> per row and tile: links and forest edges.
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cluster, id, tiles, shingles, base -> cluster, id, tiles, size, base_size, gone (shingles of the base that are missing), diff (all that differ)."""
+    for batch in batches:
+        out = []
+        for own, base in zip(batch.column("shingles").to_pylist(), batch.column("base").to_pylist(), strict=True):
+            x, b = np.frombuffer(own, np.uint64), np.frombuffer(base, np.uint64)
+            diff = np.setxor1d(x, b, assume_unique=True)
+            # |x| = |b| - gone + added and |diff| = gone + added
+            out.append((len(x), len(b), (len(diff) - len(x) + len(b)) // 2, diff.tobytes()))
+        numbers = [pa.array([r[k] for r in out], pa.int32()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "id", "tiles")), *numbers, pa.array([r[3] for r in out], pa.binary())], ["cluster", "id", "tiles", "size", "base_size", "gone", "diff"])
+
+
+def _tile_links(least: list[int], threshold: float):
+    """Rows (cluster, tile_i, tile_j, tile, id, copies, ..., diff, sig) sorted by the first three -> per row and tile: links and forest edges.
 
     Tiles (i, i) compare all their rows; tiles (i, j) compare the rows of tile i with those of tile j.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache()
         keys = ["cluster", "tile_i", "tile_j"]
         for table in whole_groups(batches, keys):
             starts = starts_of(table, keys)
@@ -149,10 +213,9 @@ def _tile_links(least: list[int], threshold: float, n: int):
                 part = table.slice(begin, end - begin)
                 if part.num_rows < 2:
                     continue
-                sets = [shingles(t, cache, n) for t in texts_of(part.column("text"))]
                 ids, copies, tile = (part.column(c).to_numpy() for c in ("id", "copies", "tile"))
                 across = part.column("tile_i")[0].as_py() != part.column("tile_j")[0].as_py()
-                a, b = _verified(sets, tile if across else None, least, threshold)
+                a, b = _verified(part, tile if across else None, least, threshold)
                 links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
                 label = forest(len(ids), a, b)
                 on = np.flatnonzero(links > 0)
@@ -161,16 +224,23 @@ def _tile_links(least: list[int], threshold: float, n: int):
     return run
 
 
-def _verified(sets: list[np.ndarray], tile: np.ndarray | None, least: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs with a Jaccard index of the threshold or more: pruned by the posterior, then counted exactly."""
-    sig = np.stack([signature(s) for s in sets]).astype(np.uint8)
-    size = np.array([len(s) for s in sets])
-    flat, where = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(size)
-    seen = np.zeros(len(flat), bool)
+def _verified(part: pa.Table, tile: np.ndarray | None, least: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with a Jaccard index of the threshold or more: pruned by the posterior, then counted exactly.
+
+    With D the shingles in which a set differs from its cluster's base and g those of the base that it lacks, two sets
+    share |base| - g1 - g2 + |D1 and D2| shingles.
+    """
+    sig = _signatures(part)
+    size, base, gone = (part.column(c).to_numpy().astype(np.int64) for c in ("size", "base_size", "gone"))
+    diffs = [np.frombuffer(d, np.uint64) for d in part.column("diff").to_pylist()]
+    where = np.unique(np.concatenate(diffs), return_inverse=True)[1]
+    ends = np.cumsum([len(d) for d in diffs])
+    begins = ends - [len(d) for d in diffs]
+    seen = np.zeros(int(where.max(initial=-1)) + 1, bool)
+    rows = np.arange(len(size))
     found_a, found_b = [], []
-    for i in range(len(sets) - 1):
-        others = np.arange(i + 1, len(sets))
+    for i in rows[:-1]:
+        others = rows[i + 1 :]
         if tile is not None:
             others = others[tile[others] != tile[i]]
         low, high = np.minimum(size[i], size[others]), np.maximum(size[i], size[others])
@@ -178,14 +248,16 @@ def _verified(sets: list[np.ndarray], tile: np.ndarray | None, least: list[int],
         others = others[surviving(sig, np.full(len(others), i), others, least)]
         if not len(others):
             continue
-        own = where[ends[i] - size[i] : ends[i]]
+        own = where[begins[i] : ends[i]]
         seen[own] = True
         for k in range(0, len(others), 512):
             some = others[k : k + 512]
-            n = size[some]
-            at = np.repeat(ends[some] - n - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            both = np.add.reduceat(seen[where[at]], np.concatenate([[0], np.cumsum(n)[:-1]]), dtype=np.int64)
-            hit = some[both >= threshold * (size[i] + n - both) - 1e-9]
+            n = ends[some] - begins[some]
+            upto = np.cumsum(n)
+            at = np.repeat(begins[some] - (upto - n), n) + np.arange(n.sum())
+            hits = np.concatenate([[0], np.cumsum(seen[where[at]], dtype=np.int64)])
+            both = base[i] - gone[i] - gone[some] + hits[upto] - hits[upto - n]
+            hit = some[both >= threshold * (size[i] + size[some] - both) - 1e-9]
             found_a.append(np.full(len(hit), i))
             found_b.append(hit)
         seen[own] = False
@@ -219,7 +291,7 @@ def _describe(n: int):
     return run
 
 
-def jaccard_join(documents: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, most_in_bucket: int = 256, tile_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(documents: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-6, share_rows: int = 1024, tile_rows: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of documents: doc_id, class_id, n_links, kept.
 
     Two documents are linked if the Jaccard index of their sets of n-word shingles is at least the threshold; n_links counts
@@ -229,10 +301,13 @@ def jaccard_join(documents: DataFrame, threshold: float = 0.8, n: int = 5, toler
 
     1. Each text gets a MinHash signature and BANDS bucket numbers; texts of equal shingle sets become one class row.
     2. In each bucket pairs are compared STEP values at a time and dropped when the posterior probability of reaching the
-       threshold falls below the tolerance. What survives is returned as a spanning forest, so rows stay linear. A bucket
-       of more than most_in_bucket different sets isn't pruned: its rows are all joined to its smallest id.
-    3. The components of these edges hold every candidate pair. Each is compared whole, in tiles of tile_rows rows: pruning
-       once more, then the exact index. Tiles return link counts and a forest, never the pairs.
+       threshold falls below the tolerance. What survives is returned as a spanning forest, so rows stay linear. Buckets
+       are dealt in shares of about share_rows rows, by another hash in each, so that near copies meet in some bucket's
+       share; pairs across two shares that aren't in one cluster by then are compared in the same way.
+    3. The components of these edges hold every candidate pair. Each is compared whole: pruning once more, then the exact
+       index. A set is shingled once and kept as its difference from the set of its cluster's smallest id; this and the
+       signature are dealt in tiles of tile_rows rows, or of the root of the cluster's size where that is more, so a row
+       is copied as often as that root at most. Tiles return link counts and a forest, never the pairs.
     """
     ship(documents.sparkSession)
     least = least_matches(threshold, tolerance)
@@ -243,28 +318,9 @@ def jaccard_join(documents: DataFrame, threshold: float = 0.8, n: int = 5, toler
     groups = stored(described.select("id", "set_key").distinct().groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-sets")
     total = groups.agg(F.sum("copies")).first()[0] or 0
     reps = groups.select(F.col("rep").alias("id"), "copies")
-    one = stored(described.join(reps, "id").select("id", "sig", "bands"), "jaccard-reps")
-
-    # Buckets with two rows or more.
-    bands = one.select("id", F.explode("bands").alias("bucket"))
-    shared = stored(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1"), "jaccard-buckets")
-    in_shared = stored(bands.join(shared, "bucket"), "jaccard-members")
-    stars = in_shared.where((F.col("n") > most_in_bucket) & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b"))
-    small = in_shared.where(F.col("n") <= most_in_bucket).select("bucket", "id").join(one.select("id", "sig"), "id").select("bucket", "id", "sig")
-    small = small.repartition("bucket").sortWithinPartitions("bucket")
-    edges = small.mapInArrow(_bucket_edges(least), "a long, b long").unionByName(stars)
-    clusters = stored(components(edges), "jaccard-clusters").withColumnRenamed("component_id", "cluster")
-
-    # Exact comparison within each cluster, tile by tile.
-    sizes = stored(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "jaccard-sizes")
-    tiles = F.ceil(F.col("size") / tile_rows).cast("int")
-    member = clusters.join(sizes, "cluster").join(reps, F.col("node") == F.col("id")).select("cluster", "id", "copies", tiles.alias("tiles"))
-    member = member.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    texts = member.join(docs, "id")
-    with_pair = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    with_pair = with_pair.select("cluster", F.least("tile", "other").alias("tile_i"), F.greatest("tile", "other").alias("tile_j"), "tile", "id", "copies", "text")
-    with_pair = with_pair.repartition("cluster", "tile_i", "tile_j").sortWithinPartitions("cluster", "tile_i", "tile_j")
-    links = stored(with_pair.mapInArrow(_tile_links(least, threshold, n), "a long, b long, links long"), "jaccard-links")
+    one = stored(described.join(reps, "id").select("id", "copies", "sig", "bands"), "jaccard-reps")
+    clusters = stored(_clusters(one, least, share_rows), "jaccard-clusters")
+    links = stored(_links(docs, one, clusters, least, threshold, n, tile_rows), "jaccard-links")
     classes = components(links.select("a", "b"))
     counted = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     per_set = groups.join(counted, "rep", "left").join(classes.select(F.col("node").alias("rep"), "component_id"), "rep", "left")
@@ -278,6 +334,55 @@ def jaccard_join(documents: DataFrame, threshold: float = 0.8, n: int = 5, toler
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
 
 
+def _clusters(one: DataFrame, least: list[int], share_rows: int) -> DataFrame:
+    """(node, cluster) of all sets that survive a comparison with another in a bucket."""
+    bands = one.select("id", F.explode("bands").alias("bucket"))
+    shared = stored(bands.groupBy(F.col("bucket").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("rows", F.col("n")), "jaccard-buckets")
+    rows = shared.agg(F.sum("n")).first()[0] or 0
+    shares = F.ceil(F.col("rows") / share_rows).cast("int")
+    members = spread_lookup(bands, "bucket", shared, "key", "n", rows).select("id", "bucket", shares.alias("shares"), F.pmod(F.xxhash64("id", "bucket"), shares).cast("int").alias("share"))
+    members = stored(members, "jaccard-members")
+    signed = members.join(one.select("id", "sig"), "id")
+    dealt = signed.select("bucket", "share", "id", "sig").repartition("bucket", "share").sortWithinPartitions("bucket", "share")
+    near = components(dealt.mapInArrow(_share_edges(least), "a long, b long"))
+
+    # Buckets of several shares whose rows aren't all in one cluster.
+    wide = signed.where("shares > 1").join(near, F.col("id") == F.col("node"), "left").withColumn("cluster", F.coalesce("component_id", "id"))
+    wide = stored(wide.select("bucket", "shares", "share", "id", "cluster", "sig"), "jaccard-wide")
+    mixed = wide.groupBy(F.col("bucket").alias("key")).agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
+    mixed = stored(mixed, "jaccard-mixed")
+    if mixed.isEmpty():
+        return near.withColumnRenamed("component_id", "cluster")
+    open_rows = spread_lookup(wide, "bucket", mixed, "key", "n", mixed.agg(F.sum("n")).first()[0])
+    pairs = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).where("other <> share")
+    keys = ["bucket", "share_i", "share_j"]
+    pairs = pairs.select("bucket", F.least("share", "other").alias("share_i"), F.greatest("share", "other").alias("share_j"), "share", "id", "cluster", "sig")
+    across = pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_cross_edges(least), "a long, b long")
+    return components(near.select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(across)).withColumnRenamed("component_id", "cluster")
+
+
+def _links(docs: DataFrame, one: DataFrame, clusters: DataFrame, least: list[int], threshold: float, n: int, tile_rows: int) -> DataFrame:
+    """Rows (a, b: an edge of a forest or a itself, links) of each tile of each cluster."""
+    count = clusters.count()
+    member = clusters.select(F.col("node").alias("id"), "cluster")
+    # The filter spares texts outside clusters the shuffle; its size follows the number of members.
+    bits = 1 << min(27, max(16, (16 * count).bit_length()))
+    few = may_contain(docs.where("id is not null"), "id", bit_filter(member, "id", bits), bits)
+    packed = stored(few.join(member, "id").select("cluster", "id", "text").mapInArrow(_pack(n), "cluster long, id long, shingles binary"), "jaccard-packed")
+    sizes = stored(packed.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")), "jaccard-sizes")
+    bases = packed.where("id = cluster").select(F.col("cluster").alias("key"), F.col("shingles").alias("base")).dropDuplicates(["key"])
+    tiles = F.ceil(F.col("rows") / F.greatest(F.lit(float(tile_rows)), F.sqrt("rows"))).cast("int")
+    bases = bases.join(sizes, F.col("key") == F.col("cluster")).select("key", "base", tiles.alias("tiles"), F.col("rows").alias("n"))
+    # At most 100 base sets are broadcast.
+    met = spread_lookup(packed, "cluster", stored(bases, "jaccard-bases"), "key", "n", count, most_hot=100)
+    differing = met.select("cluster", "id", "tiles", "shingles", "base").mapInArrow(_differ, "cluster long, id long, tiles int, size int, base_size int, gone int, diff binary")
+    dealt = differing.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).join(one.select("id", "copies", "sig"), "id")
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    keys = ["cluster", "tile_i", "tile_j"]
+    each = each.select("cluster", F.least("tile", "other").alias("tile_i"), F.greatest("tile", "other").alias("tile_j"), "tile", "id", "copies", "size", "base_size", "gone", "diff", "sig")
+    return each.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tile_links(least, threshold), "a long, b long, links long")
+
+
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """The rows of documents that jaccard_join keeps, with all their columns: one document of each class."""
     name = fresh(documents, "_kept_id")

@@ -24,12 +24,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quadloom-")
         spark.sparkContext.setCheckpointDir(found)
         _forget_at_exit(spark, found)
@@ -65,6 +67,31 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` returns, stored; the tables that making it wrote to the shared folder are then deleted."""
+    before = len(_written)
+    out = stored(make(), name)
+    for spark, path in _written[before:-1]:
+        _delete(spark, path)
+    _written[before:] = _written[-1:]
+    return out
+
+
+def spread_lookup(rows: DataFrame, column: str, table: DataFrame, key: str, count: str, total: int, most_hot: int = 1000) -> DataFrame:
+    """Inner join of rows with a table by a key that is unique there; `count` says how many rows carry it.
+
+    Keys of more than total / most_hot rows are fewer than most_hot: those are broadcast and their rows stay where they
+    are. All other keys are shuffled. Rows whose key is null or not in the table go.
+    """
+    limit = max(1000, total // most_hot)
+    met = F.col(column) == F.col(key)
+    if total <= limit:  # no key can have more rows than there are
+        return rows.join(table.drop(count), met).drop(key)
+    hot, cold = table.where(F.col(count) > limit).drop(count), table.where(F.col(count) <= limit).drop(count)
+    rare = rows.join(F.broadcast(hot.select(key)), met, "left_anti")
+    return rows.join(F.broadcast(hot), met).unionByName(rare.join(cold, met)).drop(key)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -114,10 +114,10 @@ def variants(spark, groups=12, copies=9, seed=4):
     return spark.createDataFrame(out, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("tile_rows,most_in_bucket", [(512, 256), (3, 256), (4, 2)])
-def test_jaccard_join_by_hand(spark, tile_rows, most_in_bucket):
+@pytest.mark.parametrize("tile_rows,share_rows", [(256, 1024), (3, 256), (4, 2)])
+def test_jaccard_join_by_hand(spark, tile_rows, share_rows):
     docs = variants(spark)
-    got = {r.doc_id: (r.class_id, r.n_links, r.kept) for r in bayes_join.jaccard_join(docs, tile_rows=tile_rows, most_in_bucket=most_in_bucket).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links, r.kept) for r in bayes_join.jaccard_join(docs, tile_rows=tile_rows, share_rows=share_rows).collect()}
     assert got == jaccard_by_hand(docs.collect())
 
 
