@@ -16,8 +16,6 @@ from quadloom.terms import split_literal
 from quadloom.vocab import SH, TYPE
 
 VERSION = 1
-#: Fixed weights of the join hints: the smaller, the earlier.
-RANK = {"depth": 10, "optional": 50, "repeated value": 20, "alternative": 20, "inverse": 30, "repetition": 100}
 
 
 @dataclass
@@ -41,12 +39,6 @@ class PropertyPlan:
     def required(self) -> bool:
         return (self.min_count or 0) > 0
 
-    @property
-    def rank(self) -> int:
-        kinds = self.path.kinds
-        out = self.path.depth * RANK["depth"] + (not self.required) * RANK["optional"] + (not self.scalar) * RANK["repeated value"]
-        return out + ("alternative" in kinds) * RANK["alternative"] + ("inverse" in kinds) * RANK["inverse"] + bool(kinds & set("*+?")) * RANK["repetition"]
-
 
 @dataclass
 class ShapePlan:
@@ -84,13 +76,12 @@ class ShapeGraph:
         return f"{len(self.shapes)} shape(s); paths: {', '.join(paths) or 'none'}; scalar paths: {', '.join(scalar) or 'none'}"
 
     def join_hints(self) -> list[tuple[str, int]]:
-        """Least rank of each predicate, for diagnostics: Spark orders joins itself."""
-        ranks: dict[str, int] = {}
-        for s in self.shapes:
-            for x in s.properties:
-                for p in x.path.predicates:
-                    ranks[p] = min(ranks.get(p, 10_000), x.rank)
-        return sorted(ranks.items(), key=lambda x: (x[1], x[0]))
+        """Predicates by the number of steps of the shortest path that has them, for diagnostics: Spark orders joins itself."""
+        steps: dict[str, int] = {}
+        for path in (x.path for s in self.shapes for x in s.properties):
+            for p in path.predicates:
+                steps[p] = min(steps.get(p, path.depth), path.depth)
+        return sorted(steps.items(), key=lambda x: (x[1], x[0]))
 
     def to_json(self) -> dict:
         """Compact: what can be derived from the rest isn't written."""
