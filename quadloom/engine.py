@@ -86,6 +86,7 @@ class Engine:
         facts = [*self.asserted, *(t for p in custom for t in p.facts)]
         if "skos" in profiles:
             rules += skos.rules()
+            facts += skos.axioms()
         if "owl2rl" in profiles:
             self.background = owl.schema_closure(facts, rules)
             made, errors, self.divisions = owl.list_rules(self.background)
@@ -173,7 +174,7 @@ class Engine:
         divisions = self.divisions
 
         def extra(delta: DataFrame, known: DataFrame) -> list[DataFrame]:
-            return [divided(known, c, members) for c, members in divisions] + (same(delta, known) if same else [])
+            return [divided(known, c, members, delta) for c, members in divisions] + (same(delta, known) if same else [])
 
         derived = fixpoint(facts, variants, lists, extra=extra if divisions or same else None, known_before=known_before, **limits)
         return facts, derived, available
@@ -244,9 +245,13 @@ class Engine:
         return self
 
 
-def divided(known: DataFrame, cls: str, members: list[str]) -> DataFrame:
-    """Individuals typed by every one of many classes: relational division in one aggregation."""
-    met = known.where((F.col("p") == TYPE) & F.col("o").isin(members)).groupBy("msg_id", "s").agg(F.count_distinct("o").alias("n"))
+def divided(known: DataFrame, cls: str, members: list[str], delta: DataFrame | None = None) -> DataFrame:
+    """Individuals typed by every one of many classes: relational division in one aggregation. delta: only those it types."""
+    of_class = lambda df: df.where((F.col("p") == TYPE) & F.col("o").isin(members))
+    typed = of_class(known)
+    if delta is not None and delta is not known:
+        typed = typed.join(of_class(delta).select("msg_id", "s").distinct(), ["msg_id", "s"], "left_semi")
+    met = typed.groupBy("msg_id", "s").agg(F.count_distinct("o").alias("n"))
     return met.where(F.col("n") == len(set(members))).select("msg_id", "s", F.lit(TYPE).alias("p"), F.lit(cls).alias("o"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quadloom import terms as T
 from quadloom.functions import datatypes as D
-from quadloom.vocab import DT, GENID, LIST, LOG, MATH, STRING, XSD
+from quadloom.vocab import DT, GENID, INTERNAL, LIST, LOG, MATH, STRING, XSD
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,15 @@ _arithmetic("product", math.prod, lambda v: reduce(lambda a, b: a * b, v))
 _arithmetic("difference", lambda v: v[0] - v[1], lambda v: v[0] - v[1])
 _arithmetic("quotient", lambda v: v[0] / v[1], lambda v: F.try_divide(v[0], v[1]))
 _arithmetic("exponentiation", lambda v: float(v[0]) ** v[1] if v[0] > 0 or float(v[1]).is_integer() else None, lambda v: F.pow(v[0], v[1]))
+#: The exponent, where it is what is asked for: log of the second to the base of the first.
+register(INTERNAL.exponentOf, "function", lambda b, r: _exponent(b, r), lambda b, r: D.number_column(F.when((D.numeric_value(b) > 0) & (D.numeric_value(b) != 1) & (D.numeric_value(r) > 0), F.ln(D.numeric_value(r)) / F.ln(D.numeric_value(b))), [b, r]), many=True)
+
+
+def _exponent(b: str, r: str) -> str | None:
+    x, y = D.number(b), D.number(r)
+    return None if x is None or y is None or x <= 0 or x == 1 or y <= 0 else D.number_literal(math.log(y) / math.log(x), [b, r])
+
+
 _arithmetic("negation", lambda v: -v[0], lambda v: -v[0], many=False)
 _arithmetic("absoluteValue", lambda v: abs(v[0]), lambda v: F.abs(v[0]), many=False)
 _arithmetic("floor", lambda v: math.floor(v[0]), lambda v: F.floor(v[0]).cast("double"), many=False)

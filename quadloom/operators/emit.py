@@ -122,10 +122,15 @@ def explained(rows: DataFrame) -> DataFrame:
     return rows.withColumn("message", said).withColumn("evidence", shown)
 
 
+def first_reports(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The first reports with their sentences, by message, rule and terms: what a display shows."""
+    return explained(rows.orderBy("msg_id", "rule", "terms", "id").limit(most))
+
+
 def valid_statements(df: DataFrame) -> DataFrame:
     """Statements that RDF allows: subject an IRI or blank node, predicate an IRI, all terms there."""
     s, p, o = F.col("s"), F.col("p"), F.col("o")
     return df.where(s.isNotNull() & o.isNotNull() & (is_iri(s) | is_blank(s)) & is_iri(p))
 
 
-__all__ = ["emitted", "explained", "grouped_reports", "report_statements", "reports", "unique", "valid_statements"]
+__all__ = ["emitted", "explained", "first_reports", "grouped_reports", "report_statements", "reports", "unique", "valid_statements"]

@@ -141,6 +141,8 @@ def list_rules(index: Index, division_from: int = 5) -> tuple[list[Rule], list[t
     for n, (c, items) in enumerate(by(OWL.unionOf)):
         rules += [Rule((_typed("x", k),), (_typed("x", c),), f"cls-uni {n}.{i}") for i, k in enumerate(items)]
     for n, (p, items) in enumerate(by(OWL.propertyChainAxiom)):
+        if items == [p, p]:  # prp-trp, by list_facts
+            continue
         rules.append(Rule(tuple(Atom(Var(f"u{i}"), q, Var(f"u{i + 1}")) for i, q in enumerate(items)), (Atom(Var("u0"), p, Var(f"u{len(items)}")),), f"prp-spo2 {n}"))
     for n, (c, items) in enumerate(by(OWL.hasKey)):
         body = [_typed("x", c), _typed("y", c)]
@@ -167,8 +169,8 @@ def list_rules(index: Index, division_from: int = 5) -> tuple[list[Rule], list[t
 
 
 def list_facts(index: Index) -> list[Triple]:
-    """What list axioms say about the schema itself: subclasses, members of enumerations, pairwise disjointness."""
-    out = []
+    """What list axioms say about the schema itself: subclasses, members of enumerations, pairwise disjointness, transitivity."""
+    out = [(p, TYPE, OWL.TransitiveProperty) for p, _, head in index.by_p.get(OWL.propertyChainAxiom, ()) if index.items(head) == [p, p]]
     for c, _, head in index.by_p.get(OWL.intersectionOf, ()):
         out += [(c, RDFS.subClassOf, k) for k in index.items(head) or ()]
     for c, _, head in index.by_p.get(OWL.unionOf, ()):

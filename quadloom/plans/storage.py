@@ -12,12 +12,14 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def work_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir as the session has it; where it is unset, a folder of our own in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = set_before.get() if set_before.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quadloom-")
         spark.sparkContext.setCheckpointDir(found)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
