@@ -2,8 +2,8 @@ import os
 
 import pytest
 
+from quadloom import message_queries, rule_queries  # noqa: F401
 from quadloom import queries as Q
-from quadloom import rule_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
