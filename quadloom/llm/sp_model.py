@@ -76,9 +76,11 @@ def parse_model(data: bytes) -> ModelSpec:
             spec.types.append(x.get(3, NORMAL))
         elif number == 2:
             x = dict(_fields(value))
-            spec.model_type, spec.byte_fallback = x.get(3, UNIGRAM), bool(x.get(35, 0))
+            spec.model_type, spec.byte_fallback = x.get(3, spec.model_type), bool(x.get(35, spec.byte_fallback))
         elif number == 3:
             x = dict(_fields(value))
-            spec.charsmap = x.get(2, b"")
-            spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = (bool(x.get(k, 1)) for k in (3, 4, 5))
+            spec.charsmap = x.get(2, spec.charsmap)
+            spec.add_dummy_prefix = bool(x.get(3, spec.add_dummy_prefix))
+            spec.remove_extra_whitespaces = bool(x.get(4, spec.remove_extra_whitespaces))
+            spec.escape_whitespaces = bool(x.get(5, spec.escape_whitespaces))
     return spec

@@ -8,7 +8,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from quadloom.llm import fm_quality, langid, mixing, nnpu_toxicity, queries, sp_wfst, token_counts, warc
-from quadloom.llm.sp_model import BPE, NORMAL, SPACE, UNIGRAM, UNKNOWN, ModelSpec
+from quadloom.llm.sp_model import BPE, NORMAL, SPACE, UNIGRAM, UNKNOWN, USER_DEFINED, ModelSpec
 
 SF = "/root/testdata/sf0.1"
 MODEL = open(queries.tokenizer_path(), "rb").read()
@@ -55,13 +55,51 @@ def test_transducer_gives_the_librarys_pieces():
             assert machine.encode(t).tolist() == lib.encode(t)
 
 
+def merged_by_hand(machine, s):
+    """Merging in its own words: the best pair of the whole string, the leftmost of equals, again and again."""
+    parts = list(s)
+    while True:
+        found = [(-machine.spec.scores[machine.ids[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in machine.ids]
+        if not found:
+            return parts
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
 def test_pair_weights_are_what_merging_says():
     machine, rng = sp_wfst.PieceTransducer(MODEL), random.Random(5)
-    plain = [k for p, k in machine.ids.items() if SPACE not in p and (len(p) == 1 or machine._parts(k))]
+    made = [k for p, k in machine.ids.items() if len(p) == 1 or k in machine.parts]
     for _ in range(4000):
-        a, b = rng.choice(plain), rng.choice(plain)
+        a, b = rng.choice(made), rng.choice(made)
         pieces = [machine.spec.pieces[a], machine.spec.pieces[b]]
-        assert machine._may_follow(a, b) == (machine._merge("".join(pieces)) == pieces)
+        assert machine._may_follow(a, b) == (merged_by_hand(machine, "".join(pieces)) == pieces)
+    for p, k in rng.sample(list(machine.ids.items()), 2000):
+        assert (len(p) == 1 or k in machine.parts) == (merged_by_hand(machine, p) == [p])
+
+
+def test_character_maps_are_compiled():
+    """The library's own rules on top of the pieces, without and with the removal of spaces."""
+    odd = [*BITS, "①", "ﬁ", "Å", "ｶﾞ", "\u200b", "¨", "½", "ſ", "e\u0301", "Ⅷ", "ﷺ", "한", "가"]
+    rng = random.Random(9)
+    for rule in ("nmt_nfkc_cf", "nmt_nfkc"):
+        mapped = MODEL + sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+        for model in (mapped, mapped + b"\x1a\x02\x20\x01"):
+            machine, lib = sp_wfst.PieceTransducer(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+            assert len(machine.replace.arcs) > 1000
+            for t in [*random_texts(200, 30), *("".join(rng.choice(odd) for _ in range(rng.randint(0, 30))) for _ in range(600))]:
+                assert machine.encode(t).tolist() == lib.encode(t), t
+
+
+def test_replaced_strings_are_the_leftmost_longest():
+    rules = {"ab": "1", "abcd": "2", "bc": "3", "c": "", "cda": "4", "x": "xx"}
+    machine, rng = sp_wfst.Replacer(rules), random.Random(3)
+    for _ in range(2000):
+        t = "".join(rng.choice("abcdx ") for _ in range(rng.randint(0, 14)))
+        want, at = "", 0
+        while at < len(t):
+            n = next((n for n in (4, 3, 2, 1) if t[at : at + n] in rules and at + n <= len(t)), 0)
+            want, at = want + (rules[t[at : at + n]] if n else t[at]), at + max(n, 1)
+        assert machine(t) == want
 
 
 def test_unigram_shortest_path_by_enumeration():
@@ -81,8 +119,10 @@ def test_unigram_shortest_path_by_enumeration():
         cost = -sum(pieces[p] for p in got)
         assert "".join(got) == machine.normalise(t) and cost == pytest.approx(best(machine.normalise(t))[0])
     assert machine.encode("axb").tolist().count(0) == 1
-    with pytest.raises(ValueError, match="identity"):
-        sp_wfst.PieceTransducer(ModelSpec(model_type=BPE, charsmap=b"x"))
+    with pytest.raises(ValueError, match="user-defined"):
+        sp_wfst.PieceTransducer(ModelSpec(["a"], [0.0], [USER_DEFINED], BPE))
+    with pytest.raises(ValueError, match="merges in their order"):
+        sp_wfst.PieceTransducer(ModelSpec(["a", "b", "ab", "abb"], [0.0, 0.0, -2.0, -1.0], [NORMAL] * 4, BPE))
 
 
 def test_encoding_and_decoding_tables(spark, documents, empty):
