@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.common import WordCache, forest, fresh, ship, spread_lookup, starts_of, stored, texts_of, whole_groups
 from quadloom.llm.components import components
-from quadloom.llm.lsm_dedup import bit_filter, may_contain, spread_join
+from quadloom.llm.lsm_dedup import bit_filter, filter_bits, may_contain, spread_join
 
 ROWS, BANDS = 5, 32
 HASHES = ROWS * BANDS
@@ -365,8 +365,7 @@ def _links(docs: DataFrame, one: DataFrame, clusters: DataFrame, least: list[int
     """Rows (a, b: an edge of a forest or a itself, links) of each tile of each cluster."""
     count = clusters.count()
     member = clusters.select(F.col("node").alias("id"), "cluster")
-    # The filter spares texts outside clusters the shuffle; its size follows the number of members.
-    bits = 1 << min(27, max(16, (16 * count).bit_length()))
+    bits = filter_bits(count)  # the filter spares texts outside clusters the shuffle
     few = may_contain(docs.where("id is not null"), "id", bit_filter(member, "id", bits), bits)
     packed = stored(few.join(member, "id").select("cluster", "id", "text").mapInArrow(_pack(n), "cluster long, id long, shingles binary"), "jaccard-packed")
     sizes = stored(packed.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")), "jaccard-sizes")

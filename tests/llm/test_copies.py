@@ -27,31 +27,56 @@ def by_hand(documents, keep):
 @pytest.mark.parametrize("keep,digest_bytes", [("largest", 32), ("smallest", 32), ("largest", 0), ("smallest", 0)])
 def test_exact_dedup_by_hand(documents, keep, digest_bytes):
     """digest_bytes 0: every text has one digest, so all hits fail the byte verification and are grouped by their bytes."""
-    got = lsm_dedup.exact_dedup(documents, keep=keep, digest_bytes=digest_bytes, filter_bits=1 << 16)
-    assert sorted(repr(tuple(r)) for r in got.collect()) == by_hand(documents.collect(), max if keep == "largest" else min)
+    for options in ({}, {"memtable_rows": 2, "fanout": 3}):
+        got = lsm_dedup.exact_dedup(documents, keep=keep, digest_bytes=digest_bytes, **options)
+        assert sorted(repr(tuple(r)) for r in got.collect()) == by_hand(documents.collect(), max if keep == "largest" else min)
 
 
 def test_exact_dedup_keeps_columns_and_empty_tables(documents, empty):
     kept = lsm_dedup.drop_copies(documents)
-    assert kept.columns == documents.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 6, 8, 8, 9]
+    assert kept.columns == documents.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 6, 8, 9]
     assert lsm_dedup.exact_dedup(empty).count() == 0 and lsm_dedup.drop_copies(empty).count() == 0
 
 
+def test_drop_copies_goes_by_row(spark):
+    """The copy that goes has an id that another text's row has too; groups of null ids and repeated rows leave one row."""
+    rows = [(1, "a"), (2, "a"), (1, "b"), (None, "c"), (None, "c"), (3, "d"), (3, "d"), (4, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash"))
+    got = lsm_dedup.drop_copies(docs)
+    assert got.columns == docs.columns and sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("1", "b"), ("2", "a"), ("3", "d"), ("4", "None"), ("None", "c")]
+
+
 def test_index_merges_runs(spark):
-    index = lsm_dedup.DigestIndex(spark, fanout=3)
+    index = lsm_dedup.DigestIndex(spark, 100, fanout=3, memtable_rows=4)
+    want = {}
     for k in range(4):
-        index.flush(spark.range(k, 20, 2).select(F.sha2((F.col("id") % 5).cast("string").cast("binary"), 256).cast("binary").alias("digest"), "id"), memtables=2)
-    merged = index.merged()
-    assert merged.count() == 5 and merged.agg(F.sum("n")).first()[0] == sum(len(range(k, 20, 2)) for k in range(4))
-    assert len(index.levels) > 1
+        rows = spark.range(k, 20, 2).select(F.sha2((F.col("id") % 7).cast("string").cast("binary"), 256).cast("binary").alias("digest"), "id")
+        index.flush(rows, rows.count())
+        for i in range(k, 20, 2):
+            low, high, n = want.get(i % 7, (i, i, 0))
+            want[i % 7] = min(low, i), max(high, i), n + 1
+    assert sorted((r.low_id, r.high_id, r.n) for r in index.merged().collect()) == sorted(want.values())
+    assert len(index.levels) > 1 and all(len(level) < 3 for level in index.levels)
+
+
+def test_compaction_passes_what_no_other_run_has(spark):
+    """Digests that other runs' filters exclude aren't merged: they are the same rows."""
+    index = lsm_dedup.DigestIndex(spark, 400, fanout=2, memtable_rows=1000)
+    digest = F.sha2(F.col("id").cast("string").cast("binary"), 256).cast("binary").alias("digest")
+    for low, high in ((0, 200), (190, 390)):
+        index.flush(spark.range(low, high).select(digest, "id"), high - low)
+    got = {r.low_id: r.n for r in index.merged().collect()}
+    assert len(index.levels) == 2 and got == {i: 2 if 190 <= i < 200 else 1 for i in range(390)}
 
 
 def test_filter_has_no_false_negatives(spark):
     keys = spark.range(2000).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).cast("binary").alias("k"))
     some = keys.limit(300)
-    made = lsm_dedup.bit_filter(some, "k", 1 << 16)
-    passed = lsm_dedup.may_contain(keys, "k", made, 1 << 16)
+    bits = lsm_dedup.filter_bits(300)
+    made = lsm_dedup.bit_filter(some, "k", bits)
+    passed = lsm_dedup.may_contain(keys, "k", made, bits)
     assert passed.join(some, "k", "left_semi").count() == 300 and passed.count() < 400
+    assert lsm_dedup.filter_bits(10**12) == lsm_dedup.MOST_BITS
 
 
 def test_spread_join_with_a_hot_key(spark):
@@ -168,6 +193,17 @@ def test_near_dedup_of_a_dense_group_of_low_rank(spark):
         assert {got[i].component_id for i in range(900)} == {0}
 
 
+def test_near_dedup_recall(spark):
+    """Each link that brute force finds among all rows is found, those of the stated queries (ids divisible by 100) too."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.toPandas()
+    x = np.array(rows.embedding.tolist(), np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = dict(zip(rows.vec_id.tolist(), ((x @ x.T >= 0.95).sum(1) - 1).tolist(), strict=True))
+    got = {r.vec_id: r.n_links for r in pq_dedup.near_dedup(table).collect()}
+    assert sum(want.values()) > 0 and got == want and any(i % 100 == 0 for i in want)
+
+
 def test_near_dedup_of_too_many_lengths(spark):
     """Lengths of a single vector don't count; more than the bound of the others is an error."""
     wide = [(n, [1.0] * n) for n in range(1, 1104)]
