@@ -116,7 +116,11 @@ def _builtin(df: DataFrame, atom: Atom, facts: DataFrame, lists: list[DataFrame]
 def solutions(v: Variant, sources: list[DataFrame], facts: DataFrame, lists: list[DataFrame] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Solutions of a variant whose i-th data pattern reads sources[i]; negation reads facts. keep: more columns of sources."""
     spark = facts.sparkSession
-    static = small(spark, v.static, [f"v_{n}" for n in v.static_vars]) if v.static_vars else None
+    static = None
+    if v.static_vars:
+        if v.table is None:  # made once, read in each round
+            v.table = small(spark, v.static, [f"v_{n}" for n in v.static_vars])
+        static = v.table
     df, pending, computed = None, list(v.builtins), set()
     todo = list(range(len(v.data)))
     while todo:
