@@ -9,6 +9,8 @@ from quadloom.llm.common import fresh, new_folder, spread_lookup, stored
 
 #: Filters take 16 bits a key, but no more than this: 16 MB, whatever the number of keys. A fuller filter excludes less.
 MOST_BITS = 1 << 27
+#: Beyond so many memtables they hold more rows instead, so that compactions stay few and large: a run is sorted by many tasks.
+MOST_MEMTABLES = 4096
 
 
 def spread_join(rows: DataFrame, index: DataFrame, key: str, rows_of: str, total: int, spread: Column, most_hot: int = 1000) -> DataFrame:
@@ -67,7 +69,7 @@ class DigestIndex:
 
     def flush(self, rows: DataFrame, count: int) -> None:
         """rows (digest, id), `count` of them. Copies are merged before rows are sorted into their runs."""
-        memtables = max(1, -(-count // self.memtable_rows))
+        memtables = min(MOST_MEMTABLES, max(1, -(-count // self.memtable_rows)))
         held = rows.select(F.pmod(F.xxhash64("id", "digest"), F.lit(memtables)).cast("int").alias("memtable"), "digest", "id")
         merged = held.groupBy("memtable", "digest").agg(F.min("id").alias("low_id"), F.max("id").alias("high_id"), F.count(F.lit(1)).alias("n"))
         if memtables > 1:  # a run in few files, each a range of digests
