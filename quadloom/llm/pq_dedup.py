@@ -117,7 +117,7 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", lists: int | None = None, sample_rows: int = 20_000, block: int = 8192) -> DataFrame:
+def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", lists: int | None = None, sample_rows: int = 20_000, block: int = 16_384, shelves: int = 4) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors are linked if their cosine in double precision is the threshold or more; n_links counts the other ids linked
@@ -129,9 +129,10 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     is encoded. Probes are sufficient: a list is skipped only if geometry says that it can't hold a link, and a code only if
     its table distance exceeds the radius by more than its own, stored, error. What is left is reranked by the exact cosine,
     so no link is lost. Where vectors have no structure that lists can follow, most lists are probed and the work is
-    quadratic. Neighbouring lists share a shelf, to which a query is sent once however many of its lists are probed. Shelves
-    and their queries are cut into blocks, so a list or a dense spot of any size
-    is many tasks; blocks return link counts and a spanning forest, never the pairs.
+    quadratic. Neighbouring lists share a shelf, to which a query is sent once however many of its lists are probed, and
+    only if the shelf comes after its own: each pair of shelves is compared once, for both sides. There are as many
+    shelves as hold about `block` rows each, and `shelves` at least. Shelves and their queries are cut into blocks, so a
+    list or a dense spot of any size is many tasks; blocks return link counts and a spanning forest, never the pairs.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -144,7 +145,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     dims = {r["dim"]: r["count"] for r in lengths}
     found = None
     for dim, n in sorted(dims.items()):
-        links = _links(reps.where(F.col("dim") == dim), dim, n, threshold, lists or max(1, min(4096, round(3 * math.sqrt(n)))), sample_rows, block)
+        links = _links(reps.where(F.col("dim") == dim), dim, n, threshold, lists or max(1, min(4096, round(3 * math.sqrt(n)))), sample_rows, block, shelves)
         found = links if found is None else found.unionByName(links)
     links = stored(found if found is not None else spark.createDataFrame([], "a long, b long, links long"), "pq-links")
     classes = components(links.select("a", "b")).select(F.col("node").alias("rep"), "component_id")
@@ -159,7 +160,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(reps: DataFrame, dim: int, n: int, threshold: float, lists: int, sample_rows: int, block: int) -> DataFrame:
+def _links(reps: DataFrame, dim: int, n: int, threshold: float, lists: int, sample_rows: int, block: int, shelves: int) -> DataFrame:
     """Links among vectors of one length: rows (a, b: an edge of a forest or a itself, links)."""
     spark = reps.sparkSession
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
@@ -167,7 +168,7 @@ def _links(reps: DataFrame, dim: int, n: int, threshold: float, lists: int, samp
     sample = reps.where(hash_share(F.col("id"), F.lit("pq")) < min(1.0, rows / n)).select("id", "vec").toArrow().sort_by("id")
     if not sample.num_rows:
         sample = reps.select("id", "vec").orderBy("id").limit(256).toArrow()
-    held = spark.sparkContext.broadcast(ProductIndex(_matrix(sample.column("vec"), dim), lists, shelves=min(lists, math.ceil(n / block))))
+    held = spark.sparkContext.broadcast(ProductIndex(_matrix(sample.column("vec"), dim), lists, shelves=min(lists, max(shelves, math.ceil(n / block)))))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
@@ -176,7 +177,7 @@ def _links(reps: DataFrame, dim: int, n: int, threshold: float, lists: int, samp
                 part = batch.slice(i, 1024)
                 x = _matrix(part.column("vec"), dim)
                 cell, codes, error = index.encode(x)
-                probes = [np.unique(index.shelf[p]) for p in index.probes(x, radius)]
+                probes = [np.unique(np.maximum(index.shelf[p], index.shelf[c])) for p, c in zip(index.probes(x, radius), cell, strict=True)]
                 ends = np.cumsum([0, *map(len, probes)]).astype(np.int32)
                 lists_ = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(probes)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), part.column("vec"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(index.shelf[cell]), lists_], ["id", "copies", "vec", "cell", "code", "error", "shelf", "probes"])
@@ -188,8 +189,8 @@ def _links(reps: DataFrame, dim: int, n: int, threshold: float, lists: int, samp
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     listed = coded.join(sizes, "shelf").select("shelf", own("l").alias("lb"), every("q").alias("qb"), F.lit(0).alias("side"), "id", "copies", "vec", "cell", "code", "error")
-    asking = coded.select("id", "copies", "vec", F.explode("probes").alias("shelf")).join(sizes, "shelf")
-    asking = asking.select("shelf", every("l").alias("lb"), own("q").alias("qb"), F.lit(1).alias("side"), "id", "copies", "vec", F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"))
+    asking = coded.select("id", "copies", "vec", F.col("shelf").alias("home"), F.explode("probes").alias("shelf")).join(sizes, "shelf")
+    asking = asking.select("shelf", every("l").alias("lb"), own("q").alias("qb"), F.when(F.col("home") == F.col("shelf"), 1).otherwise(2).alias("side"), "id", "copies", "vec", F.lit(None).cast("int").alias("cell"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error"))
     keys = ["shelf", "lb", "qb"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +207,7 @@ def _links(reps: DataFrame, dim: int, n: int, threshold: float, lists: int, samp
 
 
 def _search_block(index: ProductIndex, part: pa.Table, dim: int, threshold: float, radius: float):
+    """Listed rows (side 0) against asking ones of their own shelf (1) and of shelves before it (2)."""
     side = part.column("side").to_numpy()
     n = int((side == 0).sum())
     if not n or n == len(side):
@@ -233,6 +235,8 @@ def _search_block(index: ProductIndex, part: pa.Table, dim: int, threshold: floa
             linked = np.concatenate([np.einsum("ij,ij->i", x[q[i : i + 32768]], x[near[i : i + 32768]]) for i in range(0, len(q), 32768)]) >= threshold
             q, near = q[linked], near[linked]
             np.add.at(links, q, copies[near])
+            foreign = side[q] == 2  # the listed row won't ask in its turn
+            np.add.at(links, near[foreign], copies[q[foreign]])
             a.append(q)
             b.append(near)
             held += len(q)
