@@ -41,29 +41,39 @@ def make_record(page_id, url: str | None, payload: bytes, digest: str, size: int
 
 
 def train(records: list[bytes], dict_bytes: int = 65_536, sample_bytes: int = 4 << 20) -> bytes:
-    """A dictionary from evenly spaced records, sample_bytes of them at most; b'' if they are too few to have one."""
-    total, sample = sum(map(len, records)), []
-    step = max(1, total // sample_bytes)
-    for r in records[::step]:
-        sample.append(r[:131_072])
+    """A dictionary from whole records, evenly spaced, whose bytes sum to sample_bytes at most.
+
+    Where they are too few or too alike for training, the dictionary is their raw content, so an archive of any record
+    has one.
+    """
+    sizes = list(map(len, records))
+    step = max(1, sum(sizes) // sample_bytes)
+    sample, held = [], 0
+    for start in range(step):
+        for r in records[start::step]:
+            if held + len(r) <= sample_bytes:
+                sample.append(r)
+                held += len(r)
+        if 2 * held > sample_bytes:
+            break
     try:
-        return zstandard.train_dictionary(min(dict_bytes, max(256, total // 8)), sample).as_bytes()
+        return zstandard.train_dictionary(min(dict_bytes, max(256, held // 8)), sample).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        share = max(1, dict_bytes // max(1, len(records)))
+        return b"".join(r[:share] for r in (sample or records))[:dict_bytes]
 
 
 def write_archive(records: list[bytes], out, level: int = 6) -> None:
     """Skippable frame with the dictionary, then a frame for each record."""
     made = train(records)
-    if made:
-        out.write(struct.pack("<II", DICT_MAGIC, len(made)) + made)
-    packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(made) if made else None, write_checksum=True)
+    out.write(struct.pack("<II", DICT_MAGIC, len(made)) + made)
+    packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(made), write_checksum=True)
     for r in records:
         out.write(packer.compress(r))
 
 
-def read_archive(data) -> Iterator[bytes]:
-    """The records of an archive, a file-like object or bytes, one after another."""
+def read_archive(data, step: int = 16_384) -> Iterator[bytes]:
+    """The records of an archive, a file-like object or bytes, one after another; `step` bytes are looked at at a time."""
     data = data if isinstance(data, bytes) else data.read()
     made, at = None, 0
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICT_MAGIC:
@@ -71,10 +81,15 @@ def read_archive(data) -> Iterator[bytes]:
         made, at = zstandard.ZstdCompressionDict(data[8 : 8 + n]), 8 + n
     view, unpacker = memoryview(data), zstandard.ZstdDecompressor(dict_data=made)
     while at < len(data):
-        one = unpacker.decompressobj()
-        record = one.decompress(view[at:])
-        at = len(data) - len(one.unused_data)
-        yield record
+        one, parts = unpacker.decompressobj(), []
+        while not one.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends within a record")
+            piece = view[at : at + step]
+            parts.append(one.decompress(piece))
+            at += len(piece)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parse_record(record: bytes) -> dict:
@@ -87,9 +102,11 @@ def parse_record(record: bytes) -> dict:
 
 
 def open_shared(uri: str):
+    """(file system, path) of a folder or file; the schemes that only Hadoop knows for S3 are read as s3."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else uri)
 
 
 def decide(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
@@ -109,7 +126,8 @@ def decide(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
 def write_archives(decided: DataFrame, folder: str, archive_bytes: int = 16 << 20) -> DataFrame:
     """Each task writes its rows to archives of about archive_bytes before compression and returns (archive, records).
 
-    A file gets its name, by its partition and number, only when it is complete, so a task that runs again replaces it.
+    A file's name has the task's attempt, so attempts never write the same file; the manifest, which has the rows of the
+    attempts that Spark counts, alone says which archives exist.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,10 +139,9 @@ def write_archives(decided: DataFrame, folder: str, archive_bytes: int = 16 << 2
         held, size, number = [], 0, 0
 
         def flush() -> pd.DataFrame:
-            name = f"part-{part:06d}-{number:06d}.warc.zst"
-            with store.open_output_stream(f"{base}/.{name}.{attempt}", compression=None) as out:
+            name = f"part-{part:06d}-{number:06d}-{attempt}.warc.zst"
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
                 write_archive(held, out)
-            store.move(f"{base}/.{name}.{attempt}", f"{base}/{name}")
             return pd.DataFrame({"archive": [f"{folder}/{name}"], "records": [len(held)]})
 
         for batch in batches:
@@ -178,7 +195,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
     ship(spark)
     n = max(1, manifest.count())
-    return manifest.repartition(min(n, 10_000), "archive").mapInPandas(load, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.repartitionByRange(min(n, 10_000), "archive").mapInPandas(load, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 100, folder: str | None = None) -> DataFrame:

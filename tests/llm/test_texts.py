@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -195,6 +196,70 @@ def test_languages_back_off(spark, empty):
     assert {r.doc_id: r.l.lang_pred for r in docs.select("doc_id", langid.language(docs, model).alias("l")).collect()} == {1: "und", 2: "und", 3: "en"}
 
 
+def test_words_are_letters_and_their_marks():
+    assert langid.WORDS.findall("½ ② Ⅷ ٣ 12") == [] and langid.WORDS.findall("हिन्दी में") == ["हिन्दी", "में"] and langid.WORDS.findall("l'été x2y") == ["l", "été", "x", "y"]
+    model = langid.LanguageModel(["de"], [{} for _ in range(6)], [np.zeros((0, 1), np.float32)] * 6, np.zeros(1, np.float32))
+    assert model.predict("½ ② Ⅷ") == ("und", 0.0) and model.predict("\u0301") == ("und", 0.0)
+
+
+def test_language_by_brute_force(spark, documents):
+    """Every word's row found anew in the tables, with a plain sum; repeated rows, clashing names, ties and a long text among them."""
+    rows = [(i, t, lang, "x") for i, (t, lang) in enumerate([("der die und strasse haus", "de"), ("the and street houses", "en"), ("le la rue maison", "fr")] * 10)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    model = langid.fit_languages(train)
+
+    def score(text):
+        words, total = langid.WORDS.findall((text or "").lower()), [0.0] * len(model.langs)
+        if not words:
+            return "und", 0.0
+        for w in words:
+            if w in model.tables[0]:
+                row = model.matrices[0][model.tables[0][w]]
+            else:
+                row = model.unseen
+                for n in range(min(5, len(w) + 2), 0, -1):
+                    marked = f"\x02{w}\x03"
+                    known = [model.tables[n][g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in model.tables[n]]
+                    if known:
+                        row = [float(sum(model.matrices[n][k][c] for k in known)) / len(known) for c in range(len(model.langs))]
+                        break
+            total = [a + float(b) for a, b in zip(total, row, strict=True)]
+        p = [math.exp(x - max(total)) for x in total]
+        return model.langs[p.index(max(p))], max(p) / sum(p)
+
+    texts = ["strassen", "die maison", "houses the", "zzz qqq", "", None, "42", "der " * 150_000, "rue " * 3 + "the"]
+    asked = spark.createDataFrame([(i, t, "de", i % 2) for i, t in enumerate(texts + texts[:2])], "doc_id long, text string, lang string, score int")
+    got = {r.doc_id: r.l for r in asked.select("doc_id", langid.language(asked, model).alias("l")).collect()}
+    for i, t in enumerate(texts + texts[:2]):
+        lang, share = score(t)
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(share, abs=1e-3), t
+    assert langid.LanguageModel(["a", "b"], [{"w": 0}, *({} for _ in range(5))], [np.zeros((1, 2), np.float32)] * 6, np.zeros(2, np.float32)).predict("w") == ("a", 0.5)
+
+
+def quality_by_hand(fm, text, n_chars):
+    """The score with a sum over all pairs of features."""
+    ids, x, _ = fm_quality.features([text or ""], [n_chars], fm_quality._word_cache())
+    z = fm.bias + sum(float(fm.w[i]) * float(a) for i, a in zip(ids, x, strict=True))
+    v = fm.v[ids].astype(np.float64) * x[:, None]
+    z += sum(float(v[i] @ v[j]) for i in range(len(ids)) for j in range(i))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_and_toxicity_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("score", F.lit("clash"))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    odd = [(900_001, None, "en", "a", None, "x"), (900_002, "", "en", "a", 0, "x"), (900_003, "word " * 20_000, None, None, 5, "x"), (900_003, "word " * 20_000, None, None, 5, "x")]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    fm, tox = fm_quality.fit_quality(docs, labels), nnpu_toxicity.fit_toxicity(docs, labels)
+    weights = dict(zip(tox.ids.tolist(), tox.weights.tolist(), strict=True))
+    rows = docs.select("doc_id", "text", "n_chars", fm_quality.quality_score(docs, fm).alias("q"), nnpu_toxicity.toxicity_score(docs, tox).alias("t")).collect()
+    for r in rows:
+        if len((r.text or "").split()) < 150 or r.doc_id > 900_000:
+            assert r.q == pytest.approx(quality_by_hand(fm, r.text, r.n_chars), abs=1e-4)
+        present = {f for w in nnpu_toxicity.WORDS.findall((r.text or "").lower()) for f in nnpu_toxicity.word_features(w)}
+        assert r.t == pytest.approx(1 / (1 + math.exp(-(tox.bias + sum(weights.get(f, 0.0) for f in present)))), abs=1e-9)
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 
@@ -234,6 +299,17 @@ def test_mix_by_hand(spark, documents, empty):
     assert mixing.mix(documents).count() == 10 and mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_rows_without_an_id_draw_by_their_texts(spark):
+    """Many rows without an id don't share one key, so the search divides them."""
+    rows = [(None, "w " * (1 + i % 9) + f"t{i}", "a" if i < 900 else "b") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, boundary_rows=3).collect()
+    a = [r for r in got if r.source_size > 2000]
+    assert len(got) == 1000 and 0 < sum(r.taken for r in a) < sum(r.size for r in a) and abs(sum(r.taken for r in a) - a[0].target) <= 10
+    # More sources than are broadcast: the same by a shuffle.
+    assert sorted(map(tuple, mixing.mix(docs, max_sources=1).collect())) == sorted(map(tuple, got))
+
+
 def test_better_documents_are_drawn_more_often(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "good words of prose here").otherwise("1234 5678 !!!! #### $$$$").alias("text"), F.when(F.col("id") < 3990, "b").otherwise("a").alias("source"))
     rows = mixing.mix(docs.withColumn("source", F.when(F.col("doc_id") < 400, "a").otherwise("b"))).where("taken > 0 and source_size > 2000").collect()
@@ -252,9 +328,31 @@ def test_archive_round_trip_and_format(tmp_path):
     assert int.from_bytes(raw[:4], "little") == warc.DICT_MAGIC and list(warc.read_archive(raw)) == records
     fields = warc.parse_record(records[5])["fields"]
     assert fields["WARC-Type"] == "revisit" and fields["WARC-Profile"] == warc.SAME_PAYLOAD and fields["WARC-Target-URI"] == "http://x/5?%C3%A9"
-    with open(tmp_path / "b.warc.zst", "wb") as f:
-        warc.write_archive(records[:1], f)
-    assert list(warc.read_archive((tmp_path / "b.warc.zst").read_bytes())) == records[:1]
+    for n in (1, 3, 5, 7):  # too few to train on: their raw content is the dictionary
+        with open(tmp_path / "b.warc.zst", "wb") as f:
+            warc.write_archive(records[:n], f)
+        raw = (tmp_path / "b.warc.zst").read_bytes()
+        assert int.from_bytes(raw[:4], "little") == warc.DICT_MAGIC and int.from_bytes(raw[4:8], "little") > 0
+        assert list(warc.read_archive(raw)) == list(warc.read_archive(raw, step=7)) == records[:n]
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.read_archive(raw[:-3]))
+
+
+def test_dictionaries_are_made_of_whole_records_within_bounds():
+    records = [bytes([65 + k % 26]) * (50_000 if k % 50 == 0 else 300) + str(k).encode() for k in range(400)]
+    made = warc.train(records, dict_bytes=4096, sample_bytes=100_000)
+    assert 0 < len(made) <= 4096
+    assert len(warc.train([b"x" * 10_000_000], dict_bytes=4096)) == 4096
+
+
+def test_shared_folders_of_other_schemes(tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from pyarrow import fs
+
+    assert isinstance(warc.open_shared(f"file://{tmp_path}")[0], fs.LocalFileSystem)
+    monkeypatch.setattr(fs, "FileSystem", SimpleNamespace(from_uri=lambda uri: uri))  # no network here
+    assert warc.open_shared("s3a://bucket/x") == "s3://bucket/x" and warc.open_shared("hdfs://host/x") == "hdfs://host/x"
 
 
 def test_archives_of_pages(spark):
