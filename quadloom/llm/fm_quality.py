@@ -135,7 +135,11 @@ def fit_quality(documents: DataFrame, labels: DataFrame, per_class: int = 3000,
 
 
 def quality_score(documents: DataFrame, model: FactorisationMachine) -> Column:
-    """Scores whole texts, null as empty; n_chars may be missing or null. No other column is read."""
+    """A score in [0, 1] of each whole text, however long; n_chars may be missing or null. No other column is read.
+
+    A null text is scored as an empty one, which gets what its structure statistics say. Repeated rows and equal texts of
+    equal n_chars get equal scores (there are no ties to break); an empty table gives no rows.
+    """
     ship(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((model.bias, model.w, model.v))
 

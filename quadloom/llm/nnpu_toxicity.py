@@ -104,11 +104,12 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return ToxicityModel(used, w, b)
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 9000, **options) -> ToxicityModel:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 9000, prior: float | None = None, **options) -> ToxicityModel:
     """A model from about `positives` confirmed toxic rows and about `unlabelled` others of any kind, at most.
 
-    Held-out ids are in neither. Unlabelled rows are drawn from all documents by a hash of the id. Without toxic examples
-    or without unlabelled text, every text scores below 0.5.
+    Held-out ids are in neither. Unlabelled rows are drawn from all documents by a hash of the id. prior is the share of
+    toxic texts among all; None takes the share among the training labels, which is right where rows were labelled at
+    random. Without toxic examples or without unlabelled text, every text scores below 0.5.
     """
     ship(documents.sparkSession)
     sample, shares = labelled_sample(documents, labels, "toxic", positives)
@@ -128,11 +129,15 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, positives: int = 3000,
     positive, others = rows(1), rows(0)
     if not positive or not others:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -2.0)
-    return fit_nnpu(positive, others, prior_of(shares), **options)
+    return fit_nnpu(positive, others, prior if prior is not None else prior_of(shares), **options)
 
 
 def toxicity_score(documents: DataFrame, model: ToxicityModel) -> Column:
-    """Scores whole texts, null as empty. No other column is read."""
+    """A score in [0, 1] of each whole text, however long. No other column is read, whatever its name.
+
+    Null and empty texts have no features and get the model's bias alone. Repeated rows and equal texts get equal scores
+    (there are no ties to break); an empty table gives no rows.
+    """
     ship(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((model.ids, model.weights, model.bias))
 

@@ -83,7 +83,12 @@ class ChunkCounter:
 
 
 def token_count(spark: SparkSession, text: Column, model_path: str, **options) -> Column:
-    """Tokens of the text column; null counts as empty, which has none. `.json` models are encoded whole by tokenizers."""
+    """Tokens of each whole text as the library gives them; no other column is read.
+
+    Null counts as empty, which has none. Very long texts are encoded in chunks that are spliced where that is proven
+    safe; `.json` models are encoded whole by tokenizers. Repeated rows are counted each (there are no ties to break); an
+    empty table gives no rows.
+    """
     ship(spark)
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
