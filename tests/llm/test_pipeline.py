@@ -1,11 +1,14 @@
 import hashlib
+import re
+from collections import defaultdict
 
 import numpy as np
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadloom.llm import queries
+from quadloom.llm import fm_quality, queries
+from tests.llm.test_texts import quality_by_hand, targets_by_hand
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +17,8 @@ def test_stages_by_hand(spark):
     """Each stage on what the one before it kept, against brute force; the classifier by its labels."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    table = spark.read.parquet(f"{SF}/labels.parquet")
+    labels = {r.doc_id: r.quality for r in table.collect()}
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["quality", "exact_copies", "near_copies", "mixture", "tokens"] and corpus_pipeline.ORACLE_SQL is None
 
@@ -22,6 +26,9 @@ def test_stages_by_hand(spark):
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert kept.columns == columns
     assert np.mean([i in ids for i, q in labels.items() if q == 1]) > 0.97
+    fm = fm_quality.fit_quality(docs, table)
+    short = {r.doc_id: quality_by_hand(fm, r.text, r.n_chars) for r in docs.collect() if len((r.text or "").split()) < 150}
+    assert len(short) > 20 and all((i in ids) == (q >= 0.3) for i, q in short.items() if abs(q - 0.3) > 1e-4)
 
     single = stages["exact_copies"](spark, kept, SF).cache()
     best = {}
@@ -38,6 +45,16 @@ def test_stages_by_hand(spark):
     mix = stages["mixture"](spark, near, SF).cache()
     assert mix.columns == columns and {r.doc_id for r in mix.collect()} <= want
     assert mix.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+    size = {r.doc_id: (r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in near.collect()}
+    copies = {r.doc_id: r["count"] for r in mix.groupBy("doc_id").count().collect()}
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for i, (source, n) in size.items():
+        sizes[source] += n
+        taken[source] += n * copies.get(i, 0)
+    for source, target in targets_by_hand(sizes).items():
+        assert abs(taken[source] - target) <= max(n for s, n in size.values() if s == source)
+        epochs = int(target // sizes[source])  # complete epochs come first
+        assert all(epochs <= copies.get(i, 0) <= epochs + 1 for i, (s, n) in size.items() if s == source and n)
 
     out = stages["tokens"](spark, mix, SF).collect()
     lib = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
