@@ -93,7 +93,7 @@ FROM documents d JOIN c ON c.node = d.doc_id
 
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                  (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u,
+                  (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null' || coalesce(text, ''))), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u,
                   CAST(1 AS DOUBLE) - CAST(0.9 AS DOUBLE) * len(regexp_extract_all(coalesce(text, ''), '[0-9!-/:-@\[-`{-~]')) / greatest(length(coalesce(text, '')), 1) AS w
            FROM documents),
      r AS (SELECT doc_id, source, size, CAST(1 AS DOUBLE) - pow(u, CAST(1 AS DOUBLE) / w) AS r FROM d),
