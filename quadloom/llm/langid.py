@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
+from itertools import groupby
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +17,35 @@ from pyspark.sql import functions as F
 
 from quadloom.llm.common import hash_share, held_out, ship, texts_of
 
-WORDS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 
 
+_categories = list(map(unicodedata.category, map(chr, range(sys.maxunicode + 1))))
+
+
+def _of_categories(kinds: str) -> str:
+    """The characters of some Unicode categories as ranges of a character class."""
+    ranges, begin = [], 0
+    for inside, run in groupby(_categories, lambda category: category[0] in kinds):
+        end = begin + sum(1 for _ in run)
+        if inside:
+            ranges.append(f"\\U{begin:08x}-\\U{end - 1:08x}")
+        begin = end
+    return "".join(ranges)
+
+
+#: A letter (categories L*), then letters and marks (M*): vowel signs stay within words.
+WORDS = re.compile(f"[{_of_categories('L')}][{_of_categories('LM')}]*")
+#: Where a text has neither a mark nor a number that is no decimal digit, this finds the same words, and faster.
+_PLAIN = re.compile(r"[^\W\d_]+")
+_ODD = frozenset(chr(c) for c, category in enumerate(_categories) if category[0] == "M" or category in ("No", "Nl"))
+del _categories
+
+
+def words_of(text: str) -> list[str]:
+    return (_PLAIN if text.isascii() or _ODD.isdisjoint(text) else WORDS).findall(text)
+
+
 def grams(word: str, n: int) -> list[str]:
     """Character n-grams of the word between marks of its ends."""
     w = f"\x02{word}\x03"
@@ -60,7 +88,7 @@ class LanguageModel:
 
     def predict(self, text: str) -> tuple[str, float]:
         """Texts without a letter, and any text where no language was learned, are und with score 0."""
-        words = WORDS.findall(text.lower())
+        words = words_of(text.lower())
         if not words or not self.langs:
             return "und", 0.0
         total = np.zeros(len(self.langs))
@@ -104,34 +132,42 @@ def fit_languages(documents: DataFrame, per_lang: int = 1000, smoothing: float =
         for b in batches:
             by_lang: dict[str, Counter] = {}
             for text, lang in zip(b.text, b.lang, strict=True):
-                by_lang.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
+                by_lang.setdefault(lang, Counter()).update(words_of(text.lower()))
             for lang, words in by_lang.items():
                 yield pd.DataFrame({"lang": lang, "word": list(words), "n": list(words.values())})
 
     got = sample.select("text", "lang").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    counts: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    for lang, word, n in zip(got.lang, got.word, got.n, strict=True):
-        k = langs.index(lang)
-        for size in range(LONGEST + 1):
-            for key in [word] if size == 0 else grams(word, size):
-                row = counts[size].get(key)
-                if row is None:
-                    row = counts[size][key] = np.zeros(len(langs), np.float32)
-                row[k] += n if size == 0 else 1 + math.log(n)
-    counts[0] = {w: c for w, c in counts[0].items() if c.sum() >= min_word}
-    for size in range(2, LONGEST + 1):
-        counts[size] = {g: c for g, c in counts[size].items() if c.sum() >= 2}
+    words, at = np.unique(got.word.to_numpy(object), return_inverse=True) if len(got) else (np.zeros(0, object), np.zeros(0, np.int64))
+    seen = np.zeros((len(words), len(langs)), np.float64)
+    seen[at, [langs.index(x) for x in got.lang]] = got.n
+    known = seen.sum(1) >= min_word
     tables, matrices = [], []
-    for table in counts:
-        rows = np.array(list(table.values()), np.float32).reshape(len(table), len(langs))
-        low = np.log(rows.sum(0) + smoothing * max(1, len(table)))
-        tables.append({key: i for i, key in enumerate(table)})
+
+    def add(keys: list[str], rows: np.ndarray) -> None:
+        low = np.log(rows.sum(0) + smoothing * max(1, len(keys)))
+        tables.append({key: i for i, key in enumerate(keys)})
         matrices.append((np.log(rows + smoothing) - low).astype(np.float32))
+
+    add(words[known].tolist(), seen[known])
+    weight = np.where(seen > 0, 1 + np.log(np.maximum(seen, 1)), 0)
+    for size in range(1, LONGEST + 1):
+        found = [grams(w, size) for w in words]
+        keys, rows = pd.factorize(np.array([g for gs in found for g in gs] or [""], object))[::-1]
+        total = np.zeros((len(keys), len(langs)))
+        if any(found):
+            np.add.at(total, rows, weight[np.repeat(np.arange(len(words)), [len(gs) for gs in found])])
+        kept = total.sum(1) >= (2 if size > 1 else 1e-9)
+        add(np.asarray(keys)[kept].tolist(), total[kept])
     return LanguageModel(langs, tables, matrices, np.full(len(langs), -12.0, np.float32))
 
 
 def language(documents: DataFrame, model: LanguageModel) -> Column:
-    """struct(lang_pred, score) of the whole text; null texts are und with score 0. No other column is read."""
+    """struct(lang_pred, score) of the whole text; no other column is read, whatever its name.
+
+    Null and empty texts and texts without a letter (Unicode categories L*) are und with score 0, as are all texts where no
+    language was learned. Very long texts are scored whole, 100,000 words at a time. Of languages that tie the first by
+    code point is said. Repeated rows get the same result each; an empty table gives no rows.
+    """
     ship(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((model.langs, [list(t) for t in model.tables], model.matrices, model.unseen))
 

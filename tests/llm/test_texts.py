@@ -198,6 +198,10 @@ def test_languages_back_off(spark, empty):
 
 def test_words_are_letters_and_their_marks():
     assert langid.WORDS.findall("½ ② Ⅷ ٣ 12") == [] and langid.WORDS.findall("हिन्दी में") == ["हिन्दी", "में"] and langid.WORDS.findall("l'été x2y") == ["l", "été", "x", "y"]
+    rng = random.Random(6)
+    for _ in range(3000):
+        t = "".join(chr(rng.choice([rng.randint(32, 0x24F), rng.randint(32, 0x2FFF), rng.randint(0x4E00, 0x4E80), rng.randint(32, 0x1FFFF)])) for _ in range(rng.randint(0, 12)))
+        assert langid.words_of(t) == langid.WORDS.findall(t), t
     model = langid.LanguageModel(["de"], [{} for _ in range(6)], [np.zeros((0, 1), np.float32)] * 6, np.zeros(1, np.float32))
     assert model.predict("½ ② Ⅷ") == ("und", 0.0) and model.predict("\u0301") == ("und", 0.0)
 
