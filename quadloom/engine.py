@@ -86,7 +86,8 @@ class Engine:
         facts = [*self.asserted, *(t for p in custom for t in p.facts)]
         if "skos" in profiles:
             rules += skos.rules()
-            facts += skos.axioms()
+            if "owl2rl" not in profiles:  # with it they would be schema that says the rules of this profile again
+                facts += skos.axioms()
         if "owl2rl" in profiles:
             self.background = owl.schema_closure(facts, rules)
             made, errors, self.divisions = owl.list_rules(self.background)
