@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quadloom.engine import Engine, Profile
 from quadloom.functions.datatypes import canonical
 from quadloom.operators import emit, literals, quantities, shape_plan
-from quadloom.operators.paths import Path, evaluate
+from quadloom.operators.paths import Path, evaluate_all
 from quadloom.operators.shacl import Validator, conforms, result_statements
 from quadloom.plans import relational as R
 from quadloom.plans import sql
@@ -212,7 +212,7 @@ def path_plus_option_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts, step = successors(spark, sf_dir), Path("predicate", iri_of("before"))
     back = Path("inverse", parts=(step,))
     kinds = {"plus": Path("+", parts=(step,)), "option": Path("?", parts=(step,)), "back": Path("sequence", parts=(back, back))}
-    out = [evaluate(p, facts).select(F.lit(k).alias("kind"), "a", "b") for k, p in kinds.items()]
+    out = [df.select(F.lit(k).alias("kind"), "a", "b") for k, df in zip(kinds, evaluate_all(list(kinds.values()), facts), strict=True)]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
